@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters of `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,7 +43,7 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
     """Slices of a batch whose texts hold about `most` bytes each; a longer text is a slice of its own."""
     texts = batch.column(column)
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if size and size + (n or 0) > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
@@ -82,3 +84,31 @@ class Memo:
                     young[k] = v
             young.update(zip(new, self.make(new), strict=True))
         return self.young.__getitem__
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what is read from it again doesn't depend on the executors that made it."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all other characters as they are."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 8) -> DataFrame:
+    """left joined with right, whose keys are unique, null keys matching.  The rows of a hot key are spread over `salts`
+    tasks by `spread`; right, the smaller table, is repeated that often.  Columns: left's, then right's others."""
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = right.select(*[F.col(k).alias(f"__r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__r_salt"))
+    on = F.col("__salt") == F.col("__r_salt")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__r_{i}"))
+    return left.join(right, on, how).drop("__salt", "__r_salt", *[f"__r_{i}" for i in range(len(keys))])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row wherever body uses it, also inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
