@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bitplane_store import token_planes
 from .bpe_chunks import bpe_round_trip
+from . import host_quality, line_dedup, url_reputation
 from .token_counts import token_counts
 
 
@@ -20,6 +22,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    rows = url_reputation.url_filter(_table(spark, sf_dir, "pages"), outcomes)
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = host_quality.host_quality(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,6 +48,6 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op8_bpe_chunk_reuse, op10_bitplane_ids)
+    f.__name__: f for f in (op1_token_counts, op4_line_dedup, op5_url_reputation, op7_host_quality, op8_bpe_chunk_reuse, op10_bitplane_ids)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op5_url_reputation": url_reputation.SQL, "op7_host_quality": host_quality.SQL}
