@@ -1,10 +1,524 @@
-"""The registered queries and their SQL."""
+"""The registered queries and the SQL of each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .. import log
+from ..functions import bloom, expressions
+from ..operators import compaction, files, read, write
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: The sequence number at which most queries read, and that of older snapshots.
+S, SNAPSHOTS = 7000, (500, 3000, 7000)
+
+_LOG = "log AS (SELECT user_id AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS op, value AS v FROM events)"
+_NEWEST = f"{_LOG}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= {S}) WHERE rn = 1)"
+_VIEW = f"{_NEWEST}, vis AS (SELECT k, seq, v FROM newest WHERE op = 1)"
+_FILES = """files AS (
+  SELECT level, CAST(level * 1000000 + run AS BIGINT) AS file_no, CAST(count(*) * 65536 AS BIGINT) AS size, min(k) AS lo, max(k) AS hi FROM (
+    SELECT CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 10 < 3 THEN 1 WHEN o_orderkey % 10 < 6 THEN 2 ELSE 3 END AS level,
+           CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey // 500 WHEN o_orderkey % 10 < 3 THEN o_custkey // 200
+                WHEN o_orderkey % 10 < 6 THEN o_custkey // 100 ELSE o_custkey // 50 END AS run, o_custkey AS k FROM orders) GROUP BY level, run)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.visible(log.events(spark, sf_dir, S))
+
+
+# Reads
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis")
+def visible_view(spark, sf_dir):
+    return _view(spark, sf_dir)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k = 42")
+def point_get(spark, sf_dir):
+    return read.get(log.events(spark, sf_dir, S), 42)
+
+
+@query(
+    f"WITH {_LOG}, s(bound) AS (VALUES (500), (3000), (7000)), r AS (SELECT bound, k, seq, op, v, row_number() OVER (PARTITION BY bound, k ORDER BY seq DESC) AS rn FROM log JOIN s ON seq <= bound WHERE k < 60) "
+    "SELECT bound, k, seq, v FROM r WHERE rn = 1 AND op = 1"
+)
+def snapshot_get(spark, sf_dir):
+    parts = [read.visible(log.events(spark, sf_dir, s).where(F.col("k") < 60)).withColumn("bound", F.lit(s)) for s in SNAPSHOTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("bound", "k", "seq", "v")
+
+
+@query(f"WITH {_NEWEST} SELECT k, seq FROM newest WHERE op = 0")
+def deleted_get(spark, sf_dir):
+    return read.deleted(log.events(spark, sf_dir, S))
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v, row_number() OVER (ORDER BY k) AS position FROM vis")
+def scan_forward(spark, sf_dir):
+    return read.ranked(_view(spark, sf_dir))
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v, row_number() OVER (ORDER BY k DESC) AS position FROM vis")
+def scan_reverse(spark, sf_dir):
+    return read.ranked(_view(spark, sf_dir), reverse=True)
+
+
+@query(f"WITH {_VIEW} SELECT * FROM (SELECT k, seq, v, 'first' AS place FROM vis ORDER BY k LIMIT 1) UNION ALL SELECT * FROM (SELECT k, seq, v, 'last' AS place FROM vis ORDER BY k DESC LIMIT 1)")
+def seek_ends(spark, sf_dir):
+    view = _view(spark, sf_dir)
+    return read.first(view).withColumn("place", F.lit("first")).unionByName(read.last(view).withColumn("place", F.lit("last")))
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k >= 77 ORDER BY k LIMIT 1")
+def seek_ge(spark, sf_dir):
+    return read.seek(_view(spark, sf_dir), 77)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k >= 100000000 ORDER BY k LIMIT 1")
+def seek_past_end(spark, sf_dir):
+    return read.seek(_view(spark, sf_dir), 100_000_000)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k < 77 ORDER BY k DESC LIMIT 1")
+def seek_prev(spark, sf_dir):
+    return read.seek_before(_view(spark, sf_dir), 77)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k > 20 ORDER BY k LIMIT 25")
+def next_page(spark, sf_dir):
+    return read.page(_view(spark, sf_dir), 20, 25)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k < 120 ORDER BY k DESC LIMIT 25")
+def prev_page(spark, sf_dir):
+    return read.page(_view(spark, sf_dir), 120, 25, reverse=True)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k >= 30 AND k < 90")
+def range_scan(spark, sf_dir):
+    return read.scan(_view(spark, sf_dir), 30, 90)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v, lag(k) OVER (ORDER BY k) AS prev_k, lead(k) OVER (ORDER BY k) AS next_k FROM vis")
+def next_prev(spark, sf_dir):
+    return read.neighbours(_view(spark, sf_dir), cell=16)
+
+
+@query(f"WITH {_VIEW} SELECT k, seq, v FROM vis WHERE k IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def multi_get(spark, sf_dir):
+    keys = log.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("k"))
+    return read.multi_get(_view(spark, sf_dir), keys)
+
+
+@query(f"WITH {_LOG} SELECT k, seq, op, CASE WHEN op = 1 THEN v END AS v FROM log WHERE k = 42")
+def all_versions(spark, sf_dir):
+    return read.versions(log.events(spark, sf_dir), 42)
+
+
+@query(f"WITH {_LOG} SELECT k, seq, op, CASE WHEN op = 1 THEN v END AS v FROM log")
+def internal_scan(spark, sf_dir):
+    return read.versions(log.events(spark, sf_dir))
+
+
+@query(
+    "WITH log AS (SELECT o_custkey AS k, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS op, o_totalprice AS v FROM orders), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log) SELECT k, seq, v FROM r WHERE rn = 1 AND op = 1"
+)
+def visible_orders(spark, sf_dir):
+    return read.visible(log.orders(spark, sf_dir))
+
+
+@query(
+    f"WITH {_LOG}, u AS (SELECT k, seq, op, v FROM log WHERE seq <= {S} UNION ALL SELECT o_custkey, o_orderkey + 1000001, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_totalprice FROM orders), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) SELECT k, seq, v FROM r WHERE rn = 1 AND op = 1"
+)
+def merged_sources(spark, sf_dir):
+    """Two sorted sources read as one."""
+    newer = log.orders(spark, sf_dir).withColumn("seq", F.col("seq") + 1_000_000)
+    return read.visible(log.events(spark, sf_dir, S).unionByName(newer))
+
+
+# Writes and recovery
+
+
+@query(
+    f"WITH {_LOG}, batch AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS op, c_acctbal AS v, {S} + c_custkey + 1 AS seq FROM customer), "
+    f"u AS (SELECT k, seq, op, v FROM log WHERE seq <= {S} UNION ALL SELECT k, seq, op, v FROM batch), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) SELECT k, seq, v FROM r WHERE rn = 1 AND op = 1"
+)
+def batch_apply(spark, sf_dir):
+    """A batch of the customers after the log: record i gets the sequence number S + 1 + i."""
+    key = F.col("c_custkey")
+    batch = log.table(spark, sf_dir, "customer").select(key.alias("ordinal"), F.when(key % 3 == 0, log.DELETE).otherwise(log.PUT).alias("op"), key.alias("k"), F.col("c_acctbal").alias("v"))
+    return read.visible(log.events(spark, sf_dir, S).unionByName(write.numbered(batch, S)))
+
+
+@query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log) SELECT k, seq, v FROM r WHERE rn = 1 AND op = 1")
+def wal_replay(spark, sf_dir):
+    """The flushed part of the log up to S, and the tail beyond it from the write-ahead log."""
+    return read.visible(log.events(spark, sf_dir, S).unionByName(log.events(spark, sf_dir, above=S)))
+
+
+@query("SELECT 3000 AS oldest, max(event_id) + 1 AS newest FROM events")
+def snapshot_registry(spark, sf_dir):
+    held = spark.createDataFrame([(1, 7000), (2, 3000), (3, 9000)], "snapshot_id int, seq long")
+    rows = log.events(spark, sf_dir)
+    return write.oldest_bound(held, rows).select(F.col("seq").cast("int").alias("oldest")).join(rows.agg(F.max("seq").alias("newest")), F.lit(True))
+
+
+_VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
+
+
+@query(
+    "WITH r AS (SELECT octet_length(CAST(CAST(user_id AS VARCHAR) AS BLOB)) + 8 AS a, CASE WHEN event_type = 'error' THEN 0 ELSE octet_length(CAST(props AS BLOB)) END AS b FROM events WHERE event_id >= 7000) "
+    f"SELECT CAST(coalesce(sum(a + {_VARINT.format('a')} + b + {_VARINT.format('b')}), 0) AS BIGINT) AS bytes, count(*) AS records FROM r"
+)
+def memory_usage(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "events").where(F.col("event_id") >= S)
+    size = write.entry_bytes(F.col("user_id").cast("string"), F.col("props"), F.when(F.col("event_type") == "error", 0).otherwise(1))
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    "WITH RECURSIVE w AS (SELECT user_id AS queue, event_id AS position, CAST(20000 + event_id % 7 * 30000 AS BIGINT) AS bytes, event_type = 'error' AS sync, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), "
+    "g AS (SELECT queue, position, rn, CAST(0 AS BIGINT) AS grp, bytes AS size, CAST(CASE WHEN bytes <= 131072 THEN bytes + 131072 ELSE 1048576 END AS BIGINT) AS most, sync AS lead FROM w WHERE rn = 1 "
+    "UNION ALL SELECT w.queue, w.position, w.rn, CASE WHEN n THEN grp + 1 ELSE grp END, CASE WHEN n THEN w.bytes ELSE size + w.bytes END, CASE WHEN n THEN CASE WHEN w.bytes <= 131072 THEN w.bytes + 131072 ELSE 1048576 END ELSE most END, CASE WHEN n THEN w.sync ELSE lead END "
+    "FROM (SELECT w.*, g.grp, g.size, g.most, g.lead, (w.sync AND NOT g.lead) OR g.size + w.bytes > g.most AS n FROM w JOIN g ON w.queue = g.queue AND w.rn = g.rn + 1) w) SELECT queue, position, grp FROM g"
+)
+def group_commit(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "events")
+    rows = rows.select(F.col("user_id").alias("queue"), F.col("event_id").alias("position"), (20000 + F.col("event_id") % 7 * 30000).alias("bytes"), (F.col("event_type") == "error").alias("sync"))
+    return write.commit_groups(rows)
+
+
+# Garbage collection
+
+_NEXT = f"{_LOG}, n AS (SELECT *, lag(seq) OVER (PARTITION BY k ORDER BY seq DESC) AS newer FROM log), kept AS (SELECT * FROM n WHERE NOT coalesce(newer <= 3000, FALSE))"
+
+
+@query(f"WITH {_NEXT} SELECT k, seq, op, v FROM kept WHERE NOT (op = 0 AND seq <= 3000)")
+def gc_retained(spark, sf_dir):
+    return compaction.retained(log.events(spark, sf_dir), 3000)
+
+
+@query(f"WITH {_NEXT} SELECT CASE WHEN coalesce(newer <= 3000, FALSE) THEN 'hidden' WHEN op = 0 AND seq <= 3000 THEN 'tombstone' ELSE 'kept' END AS reason, count(*) AS n FROM n GROUP BY 1")
+def gc_reasons(spark, sf_dir):
+    return compaction.reasons(log.events(spark, sf_dir), 3000)
+
+
+@query(
+    f"WITH {_NEXT}, deeper(lo, hi) AS (VALUES (10, 25), (60, 61), (100, 140)) "
+    "SELECT k, seq, op, v FROM kept WHERE NOT (op = 0 AND seq <= 3000 AND NOT EXISTS (SELECT 1 FROM deeper WHERE k BETWEEN lo AND hi))"
+)
+def gc_base_level(spark, sf_dir):
+    deeper = spark.createDataFrame([(10, 25), (60, 61), (100, 140)], "lo long, hi long")
+    return compaction.retained(log.events(spark, sf_dir), 3000, deeper)
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT o_custkey // 100 AS run, o_orderkey AS position, CAST(700 + o_orderkey % 900 AS BIGINT) AS bytes, row_number() OVER (PARTITION BY o_custkey // 100 ORDER BY o_orderkey) AS rn FROM orders), "
+    "w AS (SELECT run, position, rn, CAST(0 AS BIGINT) AS block, bytes AS size FROM r WHERE rn = 1 UNION ALL "
+    "SELECT r.run, r.position, r.rn, CASE WHEN w.size >= 4096 THEN w.block + 1 ELSE w.block END, CASE WHEN w.size >= 4096 THEN r.bytes ELSE w.size + r.bytes END FROM r JOIN w ON r.run = w.run AND r.rn = w.rn + 1) SELECT run, position, block FROM w"
+)
+def block_cuts(spark, sf_dir):
+    """Blocks of 4 KiB in the runs of 100 customers."""
+    rows = log.table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 100).alias("run"), F.col("o_orderkey").alias("position"), (700 + F.col("o_orderkey") % 900).alias("bytes"))
+    return compaction.cut_by_size(rows, 4096)
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT k, k // 40 AS f FROM r), "
+    "o AS (SELECT k, f, row_number() OVER (ORDER BY k) AS rn FROM b), f0 AS (SELECT min(f) AS f FROM o), "
+    "w AS (SELECT k, f, rn, f AS since, CAST(0 AS BIGINT) AS output FROM o WHERE rn = 1 UNION ALL "
+    "SELECT o.k, o.f, o.rn, CASE WHEN (o.f - w.since) * 50 > 120 THEN o.f ELSE w.since END, CASE WHEN (o.f - w.since) * 50 > 120 THEN w.output + 1 ELSE w.output END FROM o JOIN w ON o.rn = w.rn + 1) "
+    "SELECT CAST(0 AS BIGINT) AS run, k, output FROM w"
+)
+def compaction_cuts(spark, sf_dir):
+    """A run of the customers, cut where it overlaps more than 120 bytes of files of 40 keys and 50 bytes."""
+    keys = log.table(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("run"), F.col("c_custkey").alias("k")).distinct()
+    last = keys.agg(F.max("k")).first()[0] or 0
+    return compaction.cut_by_grandparents(keys, [(40 * i + 39, 50) for i in range(last // 40 + 1)], 120)
+
+
+# Files and levels
+
+
+@query(f"WITH {_FILES} SELECT level, file_no, size, lo, hi FROM files")
+def file_stats(spark, sf_dir):
+    return log.levels(spark, sf_dir)
+
+
+@query(f"WITH {_FILES} SELECT a.level AS level, a.file_no AS a_file_no, b.file_no AS b_file_no FROM files a JOIN files b ON a.level = b.level AND a.file_no < b.file_no AND a.lo <= b.hi AND b.lo <= a.hi")
+def file_overlaps(spark, sf_dir):
+    return files.overlaps(log.levels(spark, sf_dir)).select(F.col("a_level").alias("level"), "a_file_no", "b_file_no")
+
+
+@query(f"WITH {_FILES}, t(key) AS (VALUES (3), (77), (500), (1444)) SELECT key, level, file_no, row_number() OVER (PARTITION BY key ORDER BY level, file_no DESC) AS probe FROM t JOIN files ON key BETWEEN lo AND hi")
+def files_for_key(spark, sf_dir):
+    keys = spark.createDataFrame([(3,), (77,), (500,), (1444,)], "key long")
+    return files.files_for_keys(log.levels(spark, sf_dir), keys).select("key", "level", "file_no", "probe")
+
+
+_PART = "part_files AS (SELECT o_orderkey // 3 AS file_no, CAST(0 AS INTEGER) AS level, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders WHERE o_orderkey % 97 < 3 GROUP BY 1)"
+
+
+@query(f"WITH {_PART}, p AS (SELECT *, max(hi) OVER (ORDER BY lo, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM part_files) SELECT file_no, lo, hi, CAST(sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, file_no) AS BIGINT) AS island FROM p")
+def overlap_islands(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 97 < 3)
+    rows = rows.groupBy(F.floor(F.col("o_orderkey") / 3).alias("file_no")).agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi")).withColumn("level", F.lit(0))
+    return files.islands(rows).select("file_no", "lo", "hi", "island")
+
+
+@query(f"WITH {_FILES} SELECT file_no, lo, hi FROM files WHERE level = 2 AND lo <= 640 AND hi >= 230")
+def overlapping_files(spark, sf_dir):
+    return files.overlapping(log.levels(spark, sf_dir), 2, 230, 640).select("file_no", "lo", "hi")
+
+
+@query(f"WITH {_FILES}, t AS (SELECT DISTINCT user_id * 7 AS t FROM events) SELECT t, min(file_no) AS file_no FROM t JOIN files ON level = 3 AND hi >= t GROUP BY t")
+def find_file(spark, sf_dir):
+    targets = log.table(spark, sf_dir, "events").select((F.col("user_id") * 7).alias("t")).distinct()
+    return files.find_file(log.levels(spark, sf_dir).where(F.col("level") == 3), targets)
+
+
+_SCORES = f"{_FILES}, tot AS (SELECT level, count(*) AS files, sum(size) AS bytes FROM files GROUP BY level), sc AS (SELECT level, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760 * pow(10.0::DOUBLE, greatest(level - 1, 0))) END AS score FROM tot WHERE level < 6)"
+
+
+@query(f"WITH {_SCORES} SELECT level, score FROM sc")
+def level_scores(spark, sf_dir):
+    return files.scores(log.levels(spark, sf_dir))
+
+
+@query(f"WITH {_SCORES} SELECT level, score FROM sc WHERE score >= 1 ORDER BY score DESC, level LIMIT 1")
+def pick_level(spark, sf_dir):
+    return files.pick(log.levels(spark, sf_dir))
+
+
+@query(f"WITH {_FILES}, p(level, pointer) AS (VALUES (1, 350), (2, 99999999), (3, 0)), w AS (SELECT f.*, NOT hi > pointer AS wrapped, row_number() OVER (PARTITION BY f.level ORDER BY NOT hi > pointer, lo, file_no) AS rn FROM files f JOIN p ON f.level = p.level) SELECT level, file_no, wrapped FROM w WHERE rn = 1")
+def pick_file(spark, sf_dir):
+    pointers = spark.createDataFrame([(1, 350), (2, 99_999_999), (3, 0)], "level int, pointer long")
+    return files.pick_file(log.levels(spark, sf_dir), pointers)
+
+
+@query(f"WITH {_SCORES} SELECT level, files, CAST(bytes AS BIGINT) AS bytes FROM tot")
+def level_counts(spark, sf_dir):
+    return files.level_totals(log.levels(spark, sf_dir))
+
+
+@query(f"WITH {_SCORES} SELECT string_agg(level || ':' || files, ' ' ORDER BY level) AS summary FROM tot")
+def level_summary(spark, sf_dir):
+    rows = files.level_totals(log.levels(spark, sf_dir))
+    parts = F.array_sort(F.collect_list(F.struct("level", "files")))
+    return rows.agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["level"], x["files"])), " ").alias("summary"))
+
+
+@query(
+    f"WITH {_SCORES}, done(level, read, written) AS (VALUES (1, 4096, 2048), (2, 8192, 8000), (5, 1, 1)) "
+    "SELECT coalesce(t.level, d.level) AS level, coalesce(files, 0) AS files, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(coalesce(read, 0) AS BIGINT) AS read, CAST(coalesce(written, 0) AS BIGINT) AS written FROM tot t FULL JOIN done d ON t.level = d.level"
+)
+def stats_report(spark, sf_dir):
+    done = spark.createDataFrame([(1, 4000, 2000), (1, 96, 48), (2, 8192, 8000), (5, 1, 1)], "level int, read long, written long")
+    done = done.groupBy("level").agg(F.sum("read").alias("read"), F.sum("written").alias("written"))
+    rows = files.level_totals(log.levels(spark, sf_dir)).join(done, "level", "full")
+    return rows.select("level", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "bytes", "read", "written")])
+
+
+_BEFORE = "CASE WHEN hi < {0} THEN size WHEN lo >= {0} THEN 0 ELSE CAST(floor(CAST(size AS DOUBLE) * ({0} - lo) / (hi - lo + 1)) AS BIGINT) END"
+
+
+@query(
+    f"WITH {_FILES}, r(range_id, start, stop) AS (VALUES (1, 0, 200), (2, 150, 1111), (3, 900, 100), (4, 99999999, 999999999)) "
+    f"SELECT range_id, CAST(greatest(coalesce(sum({_BEFORE.format('stop')} - {_BEFORE.format('start')}), 0), 0) AS BIGINT) AS bytes FROM r LEFT JOIN files ON lo < stop GROUP BY range_id"
+)
+def approx_size(spark, sf_dir):
+    ranges = spark.createDataFrame([(1, 0, 200), (2, 150, 1111), (3, 900, 100), (4, 99_999_999, 999_999_999)], "range_id int, start long, stop long")
+    return files.approximate_sizes(log.levels(spark, sf_dir), ranges)
+
+
+@query(
+    "WITH b AS (SELECT o_custkey // 20 AS block, CAST(sum(60 + o_orderkey % 40) AS BIGINT) AS bytes, max(o_custkey) AS hi FROM orders GROUP BY 1), o AS (SELECT *, sum(bytes) OVER (ORDER BY block) - bytes AS place FROM b), "
+    "t(key) AS (VALUES (0), (77), (501), (1444), (99999999)) SELECT key, CAST(coalesce((SELECT min(place) FROM o WHERE hi >= key), (SELECT sum(bytes) FROM b)) AS BIGINT) AS place FROM t"
+)
+def block_offset(spark, sf_dir):
+    """Where in a file the block of a key begins; beyond the last key, the end of the blocks."""
+    blocks = log.table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_custkey") / 20).alias("block")).agg(F.sum(60 + F.col("o_orderkey") % 40).alias("bytes"), F.max("o_custkey").alias("hi"))
+    blocks = blocks.withColumn("place", F.sum("bytes").over(Window.orderBy("block")) - F.col("bytes"))
+    keys = spark.createDataFrame([(0,), (77,), (501,), (1444,), (99_999_999,)], "key long")
+    rows = keys.join(blocks, F.col("hi") >= F.col("key"), "left").groupBy("key").agg(F.min("place").alias("place"))
+    return rows.join(blocks.agg(F.sum("bytes").alias("end")), F.lit(True)).select("key", F.coalesce("place", "end").alias("place"))
+
+
+@query(f"WITH {_FILES} SELECT a.level AS level, a.file_no AS file_no, CAST(sum(b.size) AS BIGINT) AS overlap_bytes FROM files a JOIN files b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL")
+def next_level_overlap(spark, sf_dir):
+    return files.next_level_overlap(log.levels(spark, sf_dir)).select(F.col("a_level").alias("level"), F.col("a_file_no").alias("file_no"), "overlap_bytes")
+
+
+@query(f"WITH {_FILES} SELECT level, file_no, size, lo, hi FROM files WHERE NOT (level = 1 AND lo < 800) UNION ALL SELECT 2, file_no + 500000, size, lo, hi FROM files WHERE level = 1 AND lo < 800")
+def version_edit_apply(spark, sf_dir):
+    """A manifest edit that moves the first files of level 1 down."""
+    base = log.levels(spark, sf_dir)
+    moved = base.where((F.col("level") == 1) & (F.col("lo") < 800))
+    added = moved.withColumn("level", F.lit(2)).withColumn("file_no", F.col("file_no") + 500_000)
+    return files.apply_edits(base, added, moved)
+
+
+@query(f"WITH {_FILES} SELECT printf('%07d.ddb', p_partkey) AS name FROM part WHERE p_partkey < 60 AND p_partkey NOT IN (SELECT file_no FROM files)")
+def obsolete_files(spark, sf_dir):
+    """Files of a listing that no version names."""
+    names = log.table(spark, sf_dir, "part").where(F.col("p_partkey") < 60).select(F.format_string("%07d.ddb", F.col("p_partkey")).alias("name"))
+    listed = names.withColumn("file_no", expressions.file_kind(F.col("name"))["number"].cast("long"))
+    return listed.join(log.levels(spark, sf_dir).select("file_no"), "file_no", "left_anti").select("name")
+
+
+@query(f"WITH {_FILES}, m AS (SELECT level, sum(size) AS b FROM files WHERE lo <= 90000000 AND hi >= 80000000 GROUP BY level) SELECT CASE WHEN EXISTS (SELECT 1 FROM m WHERE level <= 1) THEN 0 ELSE 2 END AS level")
+def flush_level(spark, sf_dir):
+    level = files.output_level(log.levels(spark, sf_dir), 80_000_000, 90_000_000)
+    return spark.range(1).select(F.lit(level).alias("level"))
+
+
+# Blocks, filters and codecs
+
+_KEYS = "keys AS (SELECT c_name AS key, row_number() OVER (ORDER BY c_name) - 1 AS i, lag(c_name) OVER (ORDER BY c_name) AS before FROM customer)"
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in order with their place and the name before; customers are numbered in the order of their names."""
+    rows = log.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("key"))
+    rows = read.ranked(rows).select("k", "key", (F.col("position") - 1).alias("i"))
+    before = rows.select((F.col("i") + 1).alias("i"), F.col("key").alias("before"))
+    return rows.join(before, "i", "left")
+
+
+@query(
+    f"WITH {_KEYS} SELECT key, i, CAST(CASE WHEN before IS NULL OR i % 16 = 0 THEN 0 ELSE coalesce((SELECT min(j) - 1 FROM range(1, 1 + least(length(key), length(before))) t(j) WHERE substr(key, j, 1) <> substr(before, j, 1)), least(length(key), length(before))) END AS INTEGER) AS shared FROM keys"
+)
+def prefix_lengths(spark, sf_dir):
+    rows = _keys(spark, sf_dir)
+    shared = expressions.shared_prefix(F.col("key").cast("binary"), F.col("before").cast("binary"))
+    return rows.select("key", "i", F.when(F.col("before").isNull() | (F.col("i") % 16 == 0), 0).otherwise(shared).cast("int").alias("shared"))
+
+
+@query(f"WITH {_KEYS} SELECT i // 16 AS restart, key FROM keys WHERE i % 16 = 0")
+def restart_points(spark, sf_dir):
+    return _keys(spark, sf_dir).where(F.col("i") % 16 == 0).select(F.floor(F.col("i") / 16).alias("restart"), "key")
+
+
+def _bloom(spark, sf_dir, prefix: str) -> DataFrame:
+    rows = log.table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("grp"), F.col("p_partkey").cast("string").cast("binary").alias("key"))
+    asked = log.table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("grp"), F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).cast("binary").alias("key"))
+    return bloom.probe(bloom.build(rows), asked)
+
+
+@query("SELECT p_partkey % 7 AS grp, count(*) AS n, TRUE AS all_found FROM part GROUP BY 1")
+def bloom_membership(spark, sf_dir):
+    return _bloom(spark, sf_dir, "").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("may_hold").alias("all_found"))
+
+
+@query("SELECT TRUE AS under_two_percent, count(*) AS n FROM part")
+def bloom_fpr(spark, sf_dir):
+    return _bloom(spark, sf_dir, "no-").agg((F.avg(F.col("may_hold").cast("int")) < 0.02).alias("under_two_percent"), F.count(F.lit(1)).alias("n"))
+
+
+_LE = "||".join(f"substr(printf('%016X', (event_id + 1) * 256 + CASE WHEN event_type = 'error' THEN 0 ELSE 1 END), {15 - 2 * i}, 2)" for i in range(8))
+
+
+@query(f"SELECT event_id, hex(CAST(CAST(user_id AS VARCHAR) AS BLOB)) || {_LE} AS internal, CAST(user_id AS VARCHAR) AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS op FROM events")
+def internal_key_codec(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    rows = rows.select("event_id", expressions.internal_key(F.col("user_id").cast("string"), F.col("event_id") + 1, op).alias("internal"))
+    rows = rows.withColumn("p", expressions.parse_internal_key(F.col("internal")))
+    return rows.select("event_id", F.hex("internal").alias("internal"), F.col("p.k").cast("string").alias("k"), "p.seq", "p.op")
+
+
+@query("SELECT event_id, '\"' || user_id || '\",' || (event_id + 1) || CASE WHEN event_type = 'error' THEN ',TypeDeletion' ELSE ',TypeValue' END AS shown FROM events")
+def format_key(spark, sf_dir):
+    rows = log.events(spark, sf_dir)
+    return rows.select((F.col("seq") - 1).alias("event_id"), expressions.format_key(F.col("k"), F.col("seq"), F.col("op")).alias("shown"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END AS BIGINT) AS bytes FROM (SELECT o_orderkey, o_orderkey * 3001 AS n FROM orders)")
+def varint_lengths(spark, sf_dir):
+    return log.table(spark, sf_dir, "orders").select("o_orderkey", write.varint_bytes(F.col("o_orderkey") * 3001).alias("bytes"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n < 128 THEN printf('%02X', n) ELSE printf('%02X', n % 128 + 128) || printf('%02X', n // 128) END AS code FROM (SELECT n_nationkey, CAST(n_nationkey * 31 AS BIGINT) AS n FROM nation)")
+def varint_codes(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "nation")
+    return rows.select("n_nationkey", F.hex(expressions.varint((F.col("n_nationkey") * 31).cast("long"))).alias("code"))
+
+
+@query("SELECT o_orderkey, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS code, n AS back FROM (SELECT o_orderkey, n, printf('%08X', n) AS h FROM (SELECT o_orderkey, o_orderkey * 77777 AS n FROM orders))")
+def fixed_codes(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 77777).alias("n"))
+    return rows.select("o_orderkey", F.hex(expressions.fixed32(F.col("n"))).alias("code"), expressions.read_fixed64(expressions.fixed64(F.col("n"))).alias("back"))
+
+
+@query("SELECT o_orderkey, (((c >> 15) | ((c << 17) % 4294967296)) + 2726488792) % 4294967296 AS masked, c AS back FROM (SELECT o_orderkey, o_orderkey * 1234567 % 4294967296 AS c FROM orders)")
+def crc_mask(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey") * 1234567, F.lit(1 << 32)).alias("c"))
+    masked = expressions.mask_crc(F.col("c"))
+    return rows.select("o_orderkey", masked.alias("masked"), expressions.unmask_crc(masked).alias("back"))
+
+
+@query()
+def crc_masked(spark, sf_dir):
+    """Block checksums of the customers' names (no CRC in the SQL to compare with; tests compare with zlib)."""
+    rows = log.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", expressions.block_checksum(F.col("c_name").cast("binary"), 0).alias("crc"))
+
+
+_M = 3332679571
+
+
+@query(
+    f"WITH b AS (SELECT n_nationkey, n_nationkey + 65 AS c FROM nation), s AS (SELECT n_nationkey, xor(3164544308, {_M}) AS h, c FROM b), t AS (SELECT n_nationkey, CAST((h + c) % 4294967296 * {_M}::HUGEINT % 4294967296 AS BIGINT) AS h FROM s) SELECT n_nationkey, xor(h, h >> 24) AS h FROM t"
+)
+def key_hash(spark, sf_dir):
+    """The hash of one-byte keys; longer ones are tested against vectors."""
+    rows = log.table(spark, sf_dir, "nation")
+    return rows.select("n_nationkey", expressions.hash32(F.char(F.col("n_nationkey") + 65).cast("binary"), F.lit(0xBC9F1D34)).alias("h"))
+
+
+@query(
+    f"WITH {_KEYS}, d AS (SELECT key, before, (SELECT min(j) FROM range(1, 1 + least(length(key), length(before))) t(j) WHERE substr(key, j, 1) <> substr(before, j, 1)) AS pos FROM keys WHERE before IS NOT NULL) "
+    "SELECT key, CASE WHEN pos IS NOT NULL AND ascii(substr(before, CAST(pos AS BIGINT), 1)) + 1 < ascii(substr(key, CAST(pos AS BIGINT), 1)) THEN substr(before, 1, CAST(pos - 1 AS BIGINT)) || chr(ascii(substr(before, CAST(pos AS BIGINT), 1)) + 1) ELSE before END AS separator, chr(ascii(key) + 1) AS successor FROM d"
+)
+def separators(spark, sf_dir):
+    """The shortest string between each name and the one before it, and a short one after it."""
+    rows = _keys(spark, sf_dir).where(F.col("before").isNotNull())
+    between = expressions.separator(F.col("before").cast("binary"), F.col("key").cast("binary"))
+    return rows.select("key", between.cast("string").alias("separator"), expressions.successor(F.col("key").cast("binary")).cast("string").alias("successor"))
+
+
+@query(
+    "WITH a AS (SELECT o_custkey, list_sort(list(CAST(o_totalprice AS BIGINT))) AS items FROM orders GROUP BY 1) "
+    "SELECT o_custkey, CAST(len(list_filter(items, lambda x: x < 100000)) AS INTEGER) AS lower_bound, CAST(len(list_filter(items, lambda x: x <= 100000)) AS INTEGER) AS upper_bound, least(greatest(o_custkey, 100), 900) AS clipped FROM a"
+)
+def bounds(spark, sf_dir):
+    rows = log.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.round("o_totalprice").cast("long"))).alias("items"))
+    target = F.lit(100000)
+    return rows.select("o_custkey", expressions.lower_bound(F.col("items"), target).alias("lower_bound"), expressions.upper_bound(F.col("items"), target).alias("upper_bound"), expressions.clip(F.col("o_custkey"), 100, 900).alias("clipped"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS BIGINT) * 1000 AS number, CASE p_partkey % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'table' ELSE 'manifest' END AS kind FROM part")
+def file_names(spark, sf_dir):
+    key = F.col("p_partkey")
+    name = F.when(key % 3 == 0, F.format_string("%06d.log", key * 1000)).when(key % 3 == 1, F.format_string("%06d.ddb", key * 1000)).otherwise(F.format_string("MANIFEST-%06d", key * 1000))
+    rows = log.table(spark, sf_dir, "part").select("p_partkey", expressions.file_kind(name).alias("f"))
+    return rows.select("p_partkey", F.col("f.number").cast("long").alias("number"), "f.kind")
