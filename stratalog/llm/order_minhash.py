@@ -6,8 +6,8 @@ hash is one entry of the sketch.  Two texts agree in an entry with about the ORD
 they share in the same order, so that the sketch is sensitive to edits and moves alike.
 
 Equal texts are one node.  Nodes that agree in an entry share a bucket; in a bucket of up to PAIRS nodes all pairs are
-candidates (a constant number), in a larger one each node is paired with the bucket's first node, in the order of a
-global hash, and the bucket is split by each of the other entries of the sketch into smaller ones, where the same holds.
+candidates (a constant number), in a larger one each node is paired with the bucket's first node, in one order of all
+nodes, and the bucket is split by each of the other entries of the sketch into smaller ones, where the same holds.
 Candidates whose lengths allow it are verified by banded alignment of their labelled shingles; verified pairs are the
 edges of which a class is a connected component.
 """
@@ -163,32 +163,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, schema)
 
 
-def _paired(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the buckets of members(keys, node = (order, key, n)): all pairs of a bucket of PAIRS nodes or fewer,
+def _paired(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (x, xn, y, yn) of the buckets of members(bucket, node, n): all pairs of a bucket of PAIRS nodes or fewer,
     else each node with the first.  Also the members of the larger buckets."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where(F.col("size") > 1)
-    rows = salted(members, sizes, keys, F.col("node.key"), "inner")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).where(F.col("size") > 1)
+    rows = salted(members, sizes, ["bucket"], F.col("node"), "inner")
     few, many = rows.where(F.col("size") <= PAIRS), rows.where(F.col("size") > PAIRS)
-    lists = few.groupBy(*keys).agg(F.collect_list("node").alias("nodes"))
+    lists = few.groupBy("bucket").agg(F.collect_list(F.struct("node", "n")).alias("nodes"))
     lists = lists.select("nodes", F.posexplode("nodes").alias("i", "x")).select("x", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRS))).alias("y"))
-    return lists.unionByName(many.select(F.col("node").alias("x"), F.col("first").alias("y"))), many.drop("size", "first")
+    pairs = lists.select(F.col("x.node").alias("x"), F.col("x.n").alias("xn"), F.col("y.node").alias("y"), F.col("y.n").alias("yn"))
+    stars = many.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("first.node").alias("y"), F.col("first.n").alias("yn"))
+    return pairs.unionByName(stars), many.select("bucket", "node", "n")
 
 
 def candidates(nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(a, b): keys of different nodes that share a bucket and whose lengths allow the similarity, each pair once."""
-    node = F.struct(F.xxhash64("key").alias("order"), "key", "n")
-    entry = nodes.select(node.alias("node"), "sketch", F.posexplode("sketch").alias("band", "entry"))
-    pairs, many = _paired(entry.select("band", "entry", "node"), ["band", "entry"])
+    """(a, b): different nodes of nodes(node, n, sketch) that share a bucket and whose lengths allow the similarity, each
+    pair once.  Entries of different hash functions are different, so an entry names its bucket."""
+    pairs, many = _paired(nodes.select("node", "n", F.explode("sketch").alias("bucket")))
     many = written(many, "hot-buckets")
-    others = nodes.select(F.col("key").alias("__key"), "sketch")
-    split = many.join(others, F.col("node.key") == F.col("__key")).select("band", "entry", "node", F.posexplode("sketch").alias("band2", "entry2")).where(F.col("band2") != F.col("band"))
-    deeper, _ = _paired(split, ["band", "entry", "band2", "entry2"])
-    pairs = pairs.unionByName(deeper).where((F.col("x.key") != F.col("y.key")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    split = many.join(nodes.select("node", "sketch"), "node").select("bucket", "node", "n", F.explode("sketch").alias("entry"))
+    split = split.where(F.col("entry") != F.col("bucket")).select(F.xxhash64("bucket", "entry").alias("bucket"), "node", "n")
+    deeper, _ = _paired(split)
+    pairs = pairs.unionByName(deeper).where((F.col("x") != F.col("y")) & (F.least("xn", "yn") >= threshold * F.greatest("xn", "yn")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Those of pairs(a, b) whose texts(key, text) align to the threshold or more.  Every text is shuffled once to its
+    """Those of pairs(a, b) whose texts(node, text) align to the threshold or more.  Every text is shuffled once to its
     pairs, then the two texts of a pair meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,31 +201,31 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], names=["a", "b"])
 
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("__side"))
-    sides = sides.join(texts, F.col("__side") == F.col("key"))
+    sides = sides.join(texts, F.col("__side") == F.col("node"))
     both = sides.groupBy("a", "b").agg(F.max(F.when(F.col("__side") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("__side") == F.col("b"), F.col("text"))).alias("y"))
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id of each row of docs(doc_id, text): class_id is the least doc_id of the row's class.
 
     Texts of the same words are copies.  A null text, or one without words, is a class of its own; a null doc_id has a
-    null class_id.  Repeated rows come back each; rows of one doc_id and different texts may be in different classes.
+    null class_id.  Repeated rows come back each; rows of one doc_id and different texts may be in different classes,
+    and the greatest of such texts is the one that is aligned.
     An empty table gives an empty one; other columns are left out.
     """
     found = written(sketches(docs), "sketches")
-    nodes = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so that the numbers stay
     pairs = written(candidates(nodes, threshold), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    holders = ends.join(nodes, "key").select("key", F.col("least").alias("doc_id"))
-    keyed = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    texts = holders.join(keyed, "doc_id").select("key", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    holders = ends.join(nodes, "node").select("node", F.col("least").alias("doc_id"))
+    texts = holders.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id").select("node", "text")
     edges = written(verified(pairs, texts, threshold), "verified")
-    roots = components(edges)
-    classes = roots.join(nodes.select(F.col("key").alias("node"), "least"), "node")
+    classes = components(edges).join(nodes.select("node", "least"), "node")
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = salted(classes.select("node", "root"), least, ["root"], F.col("node"), "inner").select(F.col("node").alias("key"), "class_id")
-    node_class = nodes.join(named, "key", "left").select("key", F.coalesce("class_id", "least").alias("class_id"))
+    named = salted(classes.select("node", "root"), least, ["root"], F.col("node"), "inner").select("node", "class_id")
+    node_class = nodes.join(named, "node", "left").select("key", F.coalesce("class_id", "least").alias("class_id"))
     rows = salted(found.select("doc_id", "key"), node_class, ["key"], F.col("doc_id"), "inner").select("doc_id", "class_id")
     alone = docs.select("doc_id", "text").where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return rows.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id")))
