@@ -7,16 +7,17 @@ they share in the same order, so that the sketch is sensitive to edits and moves
 
 Equal texts are one node.  Nodes that agree in an entry share a bucket; in a bucket of up to PAIRS nodes all pairs are
 candidates (a constant number), in a larger one each node is paired with the bucket's first node, in one order of all
-nodes, and the bucket is split by each of the other entries of the sketch into smaller ones, where the same holds.
+nodes, and the bucket is split once by each of the other entries of the sketch into smaller ones, where the same holds.
 Candidates whose lengths allow it are verified by banded alignment of their labelled shingles; verified pairs are the
-edges of which a class is a connected component.
+edges of which a class is a connected component.  A larger bucket whose nodes are in several components after that is
+joined with itself by an exact prefix filter over its shingles, which finds each link that is missing between them.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .units import UnitMemo, joined
 
 #: Words of a shingle, least similarity, entries of a sketch, shingles an entry, and nodes of a bucket that are all paired.
 SHINGLE, SIMILARITY, HASHES, ORDER, PAIRS = 5, 0.8, 24, 4, 12
+#: Shingles of a block of a larger bucket; a task joins one block with another.
+BLOCK = 1 << 20
 BATCH_BYTES = 2 << 20
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -139,6 +142,70 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> fl
     return matched / (n + m - matched)
 
 
+def _postings(ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The owners of each id 0 to n - 1, and where each id's begin."""
+    return owner[np.argsort(ids, kind="stable")], np.append(0, np.cumsum(np.bincount(ids, minlength=n)))
+
+
+def links(texts: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of texts (labelled) that align to the threshold and join the components `roots` as all such pairs would.
+
+    If some of the texts have side 1, only pairs of different sides count.  Two texts align only if they share one of the
+    n - ceil(threshold * n) + 1 shingles that come first in an order of all shingles (rare ones first), so only those are
+    looked up.  Texts of the main component needn't be looked up, since those outside of it are compared with all.
+    """
+    n, many = np.array([len(t) for t in texts]), len(texts)
+    comp = np.unique(roots, return_inverse=True)[1]
+    if not comp.any():
+        return []
+    owner, begin = np.repeat(np.arange(many), n), np.append(0, np.cumsum(n))
+    ids = np.unique(np.concatenate(texts), return_inverse=True)[1]
+    often = np.bincount(ids)
+    ids = ids[np.lexsort((ids, often[ids], owner))]
+    first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(ids)) - begin[owner] < first[owner]
+    post, offset = _postings(ids[early], owner[early], len(often))
+    whole: list[tuple[np.ndarray, np.ndarray]] = []
+    two_sided, done, out = bool(sides.any()), np.zeros(many, bool), []
+
+    def compare(x: int) -> None:
+        mine = ids[begin[x] : begin[x + 1]]
+        hit = np.zeros(many, bool)
+        for t in mine[: first[x]].tolist():
+            hit[post[offset[t] : offset[t + 1]]] = True
+        hit &= ~done & (comp != comp[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]))
+        if two_sided:
+            hit &= sides != sides[x]
+        near = np.flatnonzero(hit)
+        if len(near) > 32:
+            if not whole:
+                whole.append(_postings(ids, owner, len(often)))
+            shared = np.zeros(many, np.int64)
+            for t in mine.tolist():
+                shared[whole[0][0][whole[0][1][t] : whole[0][1][t + 1]]] += 1
+            near = near[shared[near] >= threshold * (n[near] + n[x]) / (1 + threshold) - 1e-6]
+            near = near[np.argsort(-shared[near], kind="stable")]
+        at = 0
+        while at < len(near):
+            y = int(near[at])
+            at += 1
+            if alignment(texts[x], texts[y], threshold) >= threshold:
+                out.append((x, y))
+                comp[comp == comp[y]] = comp[x]
+                near, at = near[at:][comp[near[at:]] != comp[x]], 0
+        done[x] = True
+
+    by_length = np.argsort(n, kind="stable").tolist()
+    for x in {by_length[0], by_length[-1], by_length[many // 2]}:  # likely to have many links
+        compare(x)
+    main = int(np.argmax(np.bincount(comp)))
+    member = int(np.flatnonzero(comp == main)[0])
+    for x in by_length:
+        if not done[x] and comp[x] != comp[member]:  # comp[member] is the main component, whatever it is called by now
+            compare(x)
+    return out
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (128 bits of the words), n (shingles), sketch of each row that has a word and a doc_id."""
 
@@ -176,16 +243,17 @@ def _paired(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(stars), many.select("bucket", "node", "n")
 
 
-def candidates(nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(a, b): different nodes of nodes(node, n, sketch) that share a bucket and whose lengths allow the similarity, each
-    pair once.  Entries of different hash functions are different, so an entry names its bucket."""
+    pair once.  Entries of different hash functions are different, so an entry names its bucket.  Also the members of the
+    larger buckets, (bucket, node, n), of whose pairs only some are among the candidates."""
     pairs, many = _paired(nodes.select("node", "n", F.explode("sketch").alias("bucket")))
     many = written(many, "hot-buckets")
     split = many.join(nodes.select("node", "sketch"), "node").select("bucket", "node", "n", F.explode("sketch").alias("entry"))
     split = split.where(F.col("entry") != F.col("bucket")).select(F.xxhash64("bucket", "entry").alias("bucket"), "node", "n")
     deeper, _ = _paired(split)
     pairs = pairs.unionByName(deeper).where((F.col("x") != F.col("y")) & (F.least("xn", "yn") >= threshold * F.greatest("xn", "yn")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), many
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -206,6 +274,30 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long")
 
 
+def missing_links(many: DataFrame, roots: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY) -> DataFrame:
+    """(a, b): roots of components of roots(node, root) that a pair of nodes of one bucket of many(bucket, node, n) links.
+    texts gives texts(node, text) of nodes(node); a node without a root is its own.
+
+    Buckets of one component have none.  The others are cut into blocks of about BLOCK shingles by the node's hash, and
+    each two blocks of a bucket, and each block with itself, meet in one task.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        texts = [labelled(w) for w in WordHashes(1 << 16).of(utf8(group.column("text").combine_chunks()))]
+        root = group.column("root").to_numpy()
+        found = links(texts, root, (group.column("block").to_numpy() != group.column("i").to_numpy()).astype(np.int8), threshold)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": root[a], "b": root[b]})
+
+    rows = many.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where(F.col("one") != F.col("other")).select("bucket", "blocks")
+    rows = written(salted(rows, mixed, ["bucket"], F.col("node"), "inner"), "mixed-buckets")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.join(texts(rows.select("node").distinct()).groupBy("node").agg(F.max("text").alias("text")), "node")
+    rows = rows.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "root", "text")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id of each row of docs(doc_id, text): class_id is the least doc_id of the row's class.
 
@@ -217,12 +309,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     found = written(sketches(docs), "sketches")
     nodes = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so that the numbers stay
-    pairs = written(candidates(nodes, threshold), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = ends.join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = holders.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id").select("node", "text")
-    edges = written(verified(pairs, texts, threshold), "verified")
-    classes = components(edges).join(nodes.select("node", "least"), "node")
+
+    def texts(ends: DataFrame) -> DataFrame:
+        holders = ends.join(nodes, "node").select("node", F.col("least").alias("doc_id"))
+        return holders.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id").select("node", "text")
+
+    pairs, many = candidates(nodes, threshold)
+    pairs = written(pairs, "candidates")
+    edges = written(verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), threshold), "verified")
+    roots = components(edges)
+    more = written(missing_links(many, roots, texts, threshold), "missing-links")
+    if not more.isEmpty():
+        ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        roots = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+        joined_roots = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.join(joined_roots, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    classes = roots.join(nodes.select("node", "least"), "node")
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     named = salted(classes.select("node", "root"), least, ["root"], F.col("node"), "inner").select("node", "class_id")
     node_class = nodes.join(named, "node", "left").select("key", F.coalesce("class_id", "least").alias("class_id"))
