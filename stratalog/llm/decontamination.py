@@ -6,6 +6,10 @@ starts where one of the item's does.  A multi-index finds all pairs within the r
 fingerprints that differ in RADIUS bits or fewer differ in at most RADIUS // 4 bits in one of the blocks, and each block
 has a table from every value to the fingerprints within that distance.  The document's passage around each pair is then
 compared with the item by the exact weights of shared word shingles.
+
+Edits in one place can put all fingerprints of a passage beyond the radius.  So each item also has a few rare shingles,
+of more weight than a passage may lack: a passage that is similar enough holds one of them.  In the documents that do, the
+best passage is looked for at every word.
 """
 
 from __future__ import annotations
@@ -68,19 +72,26 @@ class Signs:
     def __init__(self, capacity: int = 500_000):
         self.memo = UnitMemo(self._add, capacity)
         self.table = np.zeros((4096, 64), np.int8)
+        self.hashes = np.zeros(4096, np.uint64)
 
     def _add(self, words: list[bytes]) -> list[tuple]:
         if words:
             n, m = self.memo.n, self.memo.n + len(words)
             while m > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(w) for w in words], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[n:m] = [xxhash.xxh64_intdigest(w) for w in words]
+            bits = np.unpackbits(self.hashes[n:m].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             self.table[n:m] = (2 * bits.astype(np.int8) - 1) * np.array([_weight(w) for w in words], np.int8)[:, None]
         return [()] * len(words)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.both(data, starts, ends)[0]
+
+    def both(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signs and the hashes of the words."""
         rows = self.memo.rows(data, starts, ends)
-        return self.table[rows]
+        return self.table[rows], self.hashes[rows]
 
 
 def simhashes(signs: np.ndarray, before: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +164,79 @@ def lower(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the shingles of k words."""
+    out = np.full(max(0, len(hashes) - k + 1), k, np.uint64)
+    for i in range(k if len(out) else 0):
+        out = (out ^ hashes[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class RareShingles:
+    """Items by some of their shingles of k words, of more than 1 - threshold of the item's weight, rare ones first."""
+
+    def __init__(self, k: int, items: dict[int, list[bytes]], threshold: float):
+        self.k, self.length, self.threshold = k, {i: len(w) for i, w in items.items()}, threshold
+        hashed = {i: rolled(np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64), k) for i, w in items.items()}
+        self.known, ids, often = np.unique(np.concatenate(list(hashed.values())), return_inverse=True, return_counts=True)
+        at, number, owner = 0, [], []
+        self.most: dict[int, dict[int, tuple[int, int]]] = {}  # of an item's shingles: how often it has them, and the weight of one
+        for i, w in items.items():
+            mine = ids[at : at + len(hashed[i])].tolist()
+            at += len(mine)
+            count, weight = Counter(mine), {s: sum(map(_weight, w[j : j + k])) for j, s in enumerate(mine)}
+            self.most[i] = {s: (n, weight[s]) for s, n in count.items()}
+            left = (1 - threshold) * sum(n * v for n, v in self.most[i].values()) + 1e-6
+            for s in sorted(count, key=lambda s: (often[s], s)):
+                if left < 0:
+                    break
+                number.append(s)
+                owner.append(i)
+                left -= count[s] * weight[s]
+        order = np.argsort(number, kind="stable")
+        self.owner = np.array(owner)[order]
+        self.offset = np.append(0, np.cumsum(np.bincount(number, minlength=len(self.known))))
+
+    def search(self, hashes: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word) of the passage of most weight of each text and item that may be similar enough."""
+        found = rolled(hashes, self.k)
+        s = np.searchsorted(self.known, found)
+        place = np.flatnonzero(self.known[np.minimum(s, len(self.known) - 1)] == found)
+        text = np.searchsorted(before, place, "right") - 1
+        inside = place + self.k <= before[text + 1]
+        place, text = place[inside], text[inside]
+        s = s[place]
+        n = self.offset[s + 1] - self.offset[s]
+        some = np.flatnonzero(n)
+        pairs = {(int(text[h]), int(i)) for h in some for i in self.owner[self.offset[s[h]] : self.offset[s[h] + 1]]}
+        edges = np.searchsorted(text, np.arange(len(before)))
+        for d, i in sorted(pairs):
+            a, z = edges[d], edges[d + 1]
+            at = self._best(i, (place[a:z] - before[d]).tolist(), s[a:z].tolist())
+            if at is not None:
+                yield d, i, at
+
+    def _best(self, i: int, places: list[int], numbers: list[int]) -> int | None:
+        """The first word of the passage of most weight.  As it moves on, its weight only grows where a shingle enters."""
+        most, room = self.most[i], self.length[i] - self.k
+        hits = [(p, x) for p, x in zip(places, numbers, strict=True) if x in most]
+        least = self.threshold * sum(n * v for n, v in most.values()) - 1e-6
+        have: Counter = Counter()
+        value, tail, best, start = 0, 0, least, None
+        for p, x in hits:
+            while hits[tail][0] < p - room:
+                y = hits[tail][1]
+                value -= most[y][1] * (have[y] <= most[y][0])
+                have[y] -= 1
+                tail += 1
+            have[x] += 1
+            value += most[x][1] * (have[x] <= most[x][0])
+            if value > best or start is None and value >= least:
+                best, start = value, max(0, p - room)
+        return start
+
+
 class Matcher:
     """All windows of a set of items; finds their passages in documents."""
 
@@ -163,6 +247,10 @@ class Matcher:
         words = [words[a:z] for a, z in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
         self.items = [(i, w) for (i, _), w in zip(items, words, strict=True) if w]
         self.weights = [shingles(w, min(SHINGLE, len(w))) for _, w in self.items]
+        by_size: dict[int, dict[int, list[bytes]]] = {}
+        for k, (_, w) in enumerate(self.items):
+            by_size.setdefault(min(SHINGLE, len(w)), {})[k] = w
+        self.rare = [RareShingles(size, members, threshold) for size, members in sorted(by_size.items())]
         by_step: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
             by_step.setdefault(window_stride(len(w)), []).append(k)
@@ -182,7 +270,7 @@ class Matcher:
         data, starts, ends, before = split([lower(t) for t in texts])
         if not len(starts) or not self.items:
             return []
-        signs = self.signs.of(data, starts, ends)
+        signs, hashes = self.signs.both(data, starts, ends)
         votes: Counter = Counter()
         for step, index, owner, offset in self.steps:
             prints, text, first = simhashes(signs, before, step)
@@ -197,6 +285,14 @@ class Matcher:
             value = similarity(self.weights[k], [data[i:j].tobytes() for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist(), strict=True)])
             if value >= self.threshold and (value, -at) > best.get((d, k), (0.0, 0)):
                 best[d, k] = (value, -at)
+        for rare in self.rare:
+            for d, k, at in rare.search(hashes, before):
+                if best.get((d, k), (0.0, 0))[0] < 1.0:
+                    a = int(before[d]) + at
+                    z = min(a + len(self.items[k][1]), int(before[d + 1]))
+                    value = similarity(self.weights[k], [data[i:j].tobytes() for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist(), strict=True)])
+                    if value >= self.threshold and value > best.get((d, k), (0.0, 0))[0]:
+                        best[d, k] = (value, -at)
         if self.tiny:
             self._search_tiny(data, starts, ends, before, best)
         return [(d, self.items[k][0], v, -at) for (d, k), (v, at) in sorted(best.items())]
