@@ -36,12 +36,13 @@ def plain(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language of labelled(text, lang): excerpts of the texts whose hashes are smallest."""
+    """A dictionary for each language of labelled(text, lang): excerpts of the texts whose hashes are smallest.
+    Copies count once."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    first = F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "text"))
     at = F.pmod(F.col("h"), F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1) + 1
-    rows = rows.select("lang", "h", F.substring("text", at, F.lit(EXCERPT_CHARS)).alias("text")).withColumn("n", first).where(F.col("n") <= SAMPLE_TEXTS)
+    rows = rows.select("lang", "h", F.substring("text", at, F.lit(EXCERPT_CHARS)).alias("text")).withColumn("n", first).where(F.col("n") <= SAMPLE_TEXTS).dropDuplicates(["lang", "n"])
     found: dict[str, list[bytes]] = {}
     for r in rows.join(most.select("lang"), "lang").orderBy("lang", "n").collect():
         found.setdefault(r["lang"], []).append(plain(r["text"]))
