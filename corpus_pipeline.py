@@ -42,7 +42,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("BPE", encode),
 ]
-#: Compression, sketches and BPE are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Compression, sketches and BPE are beyond SQL; tests/llm compares near-dedup and decontamination with brute force.
 ORACLE_SQL = None
 
 
