@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,14 +18,21 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: The folder of the tables that `written` makes just now, below the shared one.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, one of our own, but only for a local
+    master: on a cluster each machine would have another."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="stratalog-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -30,13 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are `written` inside are deleted at the end; those that are `kept` stay."""
+    path = fresh_dir(spark, "scratch")
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
+
+
+def unused(*tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    n = 0
+    while f"__{n}" in taken:
+        n += 1
+    return f"__{n}"
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -86,11 +116,27 @@ class Memo:
         return self.young.__getitem__
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: what is read from it again doesn't depend on the executors that made it."""
-    path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _stored(df, fresh_dir(df.sparkSession, what))
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """As `written`, for a result that outlives the scratch tables it is made from."""
+    return _stored(df, f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned and nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def ascii_lower(text: Column) -> Column:
