@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -24,16 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_bytes
 from .units import UnitMemo, joined
 
 #: Words of a shingle, least part of an item's shingle weight that a passage shares with it, bits that fingerprints may differ in.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
-#: Strides in words; windows have four strides.
-STRIDES = (1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300)
-#: Bytes of items that go to every task; a larger benchmark is taken in several passes over the documents.
-PASS_BYTES, BATCH_BYTES = 8 << 20, 2 << 20
+#: Bytes of items of one index; a larger benchmark is taken in several passes over the documents.
+PASS_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
 
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
@@ -57,8 +57,12 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def window_stride(n: int) -> int:
     """The largest stride for which an item of n words has a window at each offset of a stride; 0 for an item of fewer
-    than four words, which is one window."""
-    return max((s for s in STRIDES if 5 * s - 1 <= n), default=0)
+    than four words, which is one window.  Windows have four strides; strides are 1, 2, 3, 5, 8, 12, 18, ..., each half
+    as much again."""
+    stride, following = 0, 1
+    while 5 * following - 1 <= n:
+        stride, following = following, following + (following + 1) // 2
+    return stride
 
 
 def _weight(word: bytes) -> int:
@@ -118,15 +122,22 @@ class MultiIndex:
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
         flips = [sum(1 << b for b in c) for n in range(radius // 4 + 1) for c in combinations(range(16), n)]
+        values = np.arange(1 << 16)
         self.tables = []
         for k in range(4):
-            block = (prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)
-            value = (block[:, None] ^ np.array(flips, np.uint64)[None, :]).astype(np.int64).ravel()
-            owner = np.repeat(np.arange(len(prints)), len(flips))
-            order = np.argsort(value, kind="stable")
+            block = ((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+            sizes, order = np.bincount(block, minlength=1 << 16), np.argsort(block, kind="stable").astype(np.int32)
+            first = np.cumsum(sizes) - sizes
             offset = np.zeros((1 << 16) + 1, np.int64)
-            np.cumsum(np.bincount(value, minlength=1 << 16), out=offset[1:])
-            self.tables.append((offset, owner[order]))
+            np.cumsum(sum(sizes[values ^ f] for f in flips), out=offset[1:])
+            owner, free = np.empty(offset[-1], np.int32), offset[:-1].copy()
+            sorted_block = block[order]
+            rank = np.arange(len(order)) - first[sorted_block]
+            for f in flips:  # one flip's entries at a time, so that little more than the table itself is held
+                value = sorted_block ^ f
+                owner[free[value] + rank] = order
+                free += sizes[values ^ f]
+            self.tables.append((offset, owner))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, fingerprint) numbers of all pairs within the radius, each once."""
@@ -266,7 +277,8 @@ class Matcher:
             self.steps.append((step, MultiIndex(prints, radius), owner, offset + first))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
-        """(text number, item, similarity, first word) of the best passage of each pair of a text and an item."""
+        """(text number, place of the item, similarity, first word) of the best passage of each pair of a text and an
+        item, the earliest of equals."""
         data, starts, ends, before = split([lower(t) for t in texts])
         if not len(starts) or not self.items:
             return []
@@ -278,7 +290,7 @@ class Matcher:
             votes.update(zip(text[queries].tolist(), owner[found].tolist(), np.maximum(0, first[queries] - offset[found]).tolist(), strict=True))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for (d, k, at), _ in votes.most_common():  # nothing is better than a whole copy, so the likeliest places come first
-            if best.get((d, k), (0.0, 0))[0] == 1.0:
+            if (found := best.get((d, k), (0.0, 0)))[0] == 1.0 and at >= -found[1]:
                 continue
             a = int(before[d]) + at
             z = min(a + len(self.items[k][1]), int(before[d + 1]))
@@ -287,15 +299,14 @@ class Matcher:
                 best[d, k] = (value, -at)
         for rare in self.rare:
             for d, k, at in rare.search(hashes, before):
-                if best.get((d, k), (0.0, 0))[0] < 1.0:
-                    a = int(before[d]) + at
-                    z = min(a + len(self.items[k][1]), int(before[d + 1]))
-                    value = similarity(self.weights[k], [data[i:j].tobytes() for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist(), strict=True)])
-                    if value >= self.threshold and value > best.get((d, k), (0.0, 0))[0]:
-                        best[d, k] = (value, -at)
+                a = int(before[d]) + at
+                z = min(a + len(self.items[k][1]), int(before[d + 1]))
+                value = similarity(self.weights[k], [data[i:j].tobytes() for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist(), strict=True)])
+                if value >= self.threshold and (value, -at) > best.get((d, k), (0.0, 0)):
+                    best[d, k] = (value, -at)
         if self.tiny:
             self._search_tiny(data, starts, ends, before, best)
-        return [(d, self.items[k][0], v, -at) for (d, k), (v, at) in sorted(best.items())]
+        return [(d, k, v, -at) for (d, k), (v, at) in sorted(best.items())]
 
     def _search_tiny(self, data, starts, ends, before, best) -> None:
         """Items of fewer than four words: the windows of their size that are equal."""
@@ -307,57 +318,78 @@ class Matcher:
                         best[d, k] = (1.0, -i)
 
 
-_FOUND = [T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
+_FOUND = [T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
 
 
-def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in lots of `most` bytes of text."""
-    lot: list[tuple[int, str]] = []
+@lru_cache(1)
+def _matcher(lot: tuple[tuple[object, str], ...], threshold: float, radius: int) -> Matcher:
+    """Kept by each Python worker for its further tasks."""
+    return Matcher(list(lot), threshold, radius)
+
+
+def lots(benchmark: DataFrame, most: int) -> Iterator[tuple[tuple[object, str], ...]]:
+    """The items in lots of `most` bytes of text; the driver reads them one by one."""
+    lot: list[tuple[object, str]] = []
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).toLocalIterator():
-        n = len(r["text"]) + 64
+    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+        n = len(r["text"].encode()) + 64
         if lot and size + n > most:
-            yield lot
+            yield tuple(lot)
             lot, size = [], 0
         lot.append((r["item_id"], r["text"]))
         size += n
     if lot:
-        yield lot
+        yield tuple(lot)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words of each pair of docs(doc_id, text) and benchmark(item_id, text)
-    of which a passage of the document has the item's length and shares `threshold` of its shingle weight.
-
-    Items go to the tasks in lots of at most PASS_BYTES; a larger benchmark makes further passes over docs.  Null and
-    wordless texts match nothing, an item of fewer words than a shingle counts as one shingle.  Repeated documents come
-    back each, repeated items with each id; empty tables give an empty result; other columns are left out.  No shuffle.
+    of which a passage of the document has the item's length and shares `threshold` of its shingle weight: the passage of
+    most weight, the earliest of equals.
+
+    Items go to the tasks in lots of at most PASS_BYTES, whose index a worker keeps for all its tasks; a larger benchmark
+    makes further passes over docs.  Ids may be of any type.  Null and wordless texts match nothing, an item of fewer
+    words than a shingle counts as one shingle.  Repeated documents come back each, repeated items and ids too; empty
+    tables give an empty result; other columns are left out.  A batch takes about 100 bytes a word, of its longest text at
+    least.  No shuffle.
     """
-    schema = T.StructType([docs.schema["doc_id"], *_FOUND])
+    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *_FOUND])
     rows, out = docs.select("doc_id", "text"), None
 
-    def with_items(lot: list[tuple[int, str]]):
+    def with_items(lot: tuple[tuple[object, str], ...], kind: pa.DataType):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(lot, threshold, radius)
-            sizes = {i: len(w) for i, w in matcher.items}
+            matcher = _matcher(lot, threshold, radius)
             for batch in batches:
                 for part in by_bytes(batch, 1, BATCH_BYTES):
-                    found = matcher.search(part.column(1).to_pylist())
-                    if found:
+                    if found := matcher.search(part.column(1).to_pylist()):
                         doc, item, value, at = zip(*found, strict=True)
-                        columns = [part.column(0).take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(value), pa.array(at, pa.int64()), pa.array([sizes[i] for i in item], pa.int64())]
+                        ids = pa.array([matcher.items[k][0] for k in item], kind)
+                        columns = [part.column(0).take(pa.array(doc)), ids, pa.array(value), pa.array(at, pa.int64()), pa.array([len(matcher.items[k][1]) for k in item], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return run
 
-    for lot in _passes(benchmark, PASS_BYTES):
-        one = rows.mapInArrow(with_items(lot), schema)
+    for lot in lots(benchmark, PASS_BYTES):
+        one = rows.mapInArrow(with_items(lot, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark.  A document without an id goes only by itself:
-    it stays, since a match can't be joined to it."""
-    found = leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark, whatever their doc_id; every other row stays as it is.
+    Rows are dropped where they are matched, without a shuffle; a larger benchmark filters by one lot after the other."""
+    at = docs.columns.index("text")
+
+    def without(lot: tuple[tuple[object, str], ...]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(lot, threshold, radius)
+            for batch in batches:
+                for part in by_bytes(batch, at, BATCH_BYTES):
+                    hit = {d for d, *_ in matcher.search(part.column(at).to_pylist())}
+                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_())) if hit else part
+
+        return run
+
+    for lot in lots(benchmark, PASS_BYTES):
+        docs = docs.mapInArrow(without(lot), docs.schema)
+    return docs

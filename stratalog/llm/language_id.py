@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-A bounded sample of labelled texts gives each language a raw-content zstandard dictionary.  A text is cut into blocks,
+A bounded sample of whole labelled texts gives each language a raw-content zstandard dictionary.  A text is cut into blocks,
 each block is compressed with every dictionary, and the language with the fewest bytes in all is the answer; where the
 runner-up is nearly as small, the text is rejected.
 """
@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 
 from .common import by_bytes
 
-#: The sample that is learned from: so many labelled texts a language, of each an excerpt of so many characters, and so
-#: many languages (the most frequent) at most.  The driver holds no more than their product, 10 MB of characters.
-SAMPLE_TEXTS, EXCERPT_CHARS, MAX_LANGS = 128, 600, 128
+#: The sample that is learned from: of each language at most SAMPLE_TEXTS different labelled texts, each whole, in the order
+#: of their hashes, until they hold DICT_CHARS characters.  The driver holds, for each language, fewer characters than
+#: DICT_CHARS and one text more; rows beyond the sample are counted in nothing.
+SAMPLE_TEXTS, DICT_CHARS = 256, 80_000
 #: Bytes of a block, zstandard's level, and the narrowest margin, as a part of the runner-up's size, that isn't rejected.
 BLOCK_BYTES, LEVEL, MIN_MARGIN = 1024, 6, 0.005
 UNKNOWN = "und"
@@ -36,15 +37,19 @@ def plain(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language of labelled(text, lang): excerpts of the texts whose hashes are smallest.
-    Copies count once."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    first = F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "text"))
-    at = F.pmod(F.col("h"), F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1) + 1
-    rows = rows.select("lang", "h", F.substring("text", at, F.lit(EXCERPT_CHARS)).alias("text")).withColumn("n", first).where(F.col("n") <= SAMPLE_TEXTS).dropDuplicates(["lang", "n"])
+    """A dictionary for each language of labelled(text, lang): the different texts whose hashes are smallest.
+
+    Every language that occurs is learned.  Rows without a text or a language teach nothing, repeated rows and copies
+    count once, and an empty table gives an empty model, which calls every text unknown.  The hashes are put in order
+    without their texts, so that copies of one text are a few bytes each; only the sample's texts are shuffled.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = rows.select("lang", "h").distinct().withColumn("n", place).where(F.col("n") <= SAMPLE_TEXTS).select("lang", "h")
+    texts = rows.join(F.broadcast(sample), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE_TEXTS hashes a language
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     found: dict[str, list[bytes]] = {}
-    for r in rows.join(most.select("lang"), "lang").orderBy("lang", "n").collect():
+    for r in texts.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < DICT_CHARS).orderBy("lang", "h").select("lang", "text").collect():
         found.setdefault(r["lang"], []).append(plain(r["text"]))
     return {k: b" ".join(v) for k, v in found.items()}
 
