@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import struct
 import uuid
 import zlib
@@ -36,6 +37,8 @@ from .common import by_bytes, fresh_dir, utf8
 MAGIC = b"SLPLANE1"
 #: Ids in a block, bytes of text encoded at a time, zstandard's level.
 BLOCK_IDS, BATCH_BYTES, LEVEL = 1 << 16, 4 << 20, 1
+#: Bytes of text in a file, and in one of a smaller table, which is spread over all cores.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 _MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -153,7 +156,8 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, root: str, kind:
 
     Documents are range-partitioned by doc_id, so file p holds smaller ids than file p + 1; null ids come first, equal
     ids lie side by side in the order of their texts.  Returns the manifest: part, path, n_docs, n_ids, n_bytes.  An
-    empty table has an empty manifest.  Other columns of docs are left out.
+    empty table has an empty manifest.  Other columns of docs are left out.  The number of files follows from the bytes of
+    text, unless `files` says it.
     """
     spark = docs.sparkSession
 
@@ -178,7 +182,10 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, root: str, kind:
     store.create_dir(folder, recursive=True)
     by_id = F.col("doc_id").asc_nulls_first()
     rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(files, by_id) if files else rows.repartitionByRange(by_id)
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, math.ceil(size / FILE_BYTES), min(4 * spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
+    rows = rows.repartitionByRange(files, by_id)
     rows.sortWithinPartitions(by_id, "text").mapInArrow(write, _MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import count, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,13 +61,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, path)
 
 
-def unused(*tables: DataFrame) -> str:
-    """A column name that none of the tables has."""
-    taken = {c.lower() for t in tables for c in t.columns}
-    n = 0
-    while f"__{n}" in taken:
-        n += 1
-    return f"__{n}"
+def unused(table: DataFrame, n: int = 1) -> list[str]:
+    """n column names that the table doesn't have."""
+    taken = {c.lower() for c in table.columns}
+    return list(islice((c for c in (f"__{i}" for i in count()) if c not in taken), n))
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

@@ -21,17 +21,26 @@ def words_of(text: Column) -> Column:
     return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[\\x20\\x09-\\x0D]+")))
 
 
-def _repeated(grams: Column, n: int) -> Column:
-    """Words covered by windows of n words that occur twice or more; grams: the windows in order."""
+def _repeated(w: Column) -> Column:
+    """Words of w that are covered by windows of 3 words which occur twice or more.
 
-    def of_sorted(s: Column) -> Column:
+    Windows are compared by 64-bit hashes first; only those whose hash occurs twice are compared as strings.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def twice(s: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(s, j - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["g"] == x["g"], F.lit(False))
-        places = F.array_sort(F.transform(F.filter(s, same), lambda x: x["i"]))
-        step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(n), p - acc["last"])).alias("total"))
-        return F.aggregate(places, F.struct(F.lit(-n).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
+        return F.transform(F.filter(s, same), lambda x: x["i"])
+
+    def covered(h: Column) -> Column:
+        by_hash = F.array_sort(F.transform(h, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        grams = lambda places: F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
+        step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(3), p - acc["last"])).alias("total"))
+        places = F.array_sort(let(let(let(by_hash, twice), grams), twice))
+        count = F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(count)
 
-    labelled = F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(F.array_sort(labelled), of_sorted))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, covered))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -40,8 +49,7 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> Column:
-        grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), let(grams, lambda g: _repeated(g, 3)).alias("r"))
+        return F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))

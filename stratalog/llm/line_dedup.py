@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, salted
+from .common import BLANKS, ascii_lower, salted, unused
 
 _KEYS = ["__h1", "__h2"]
 
@@ -42,14 +42,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     hot = held.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("__n"), F.max("doc_id").alias("__stays")).where(F.col("__n") >= min_docs).drop("__n")
     dropped = salted(lines, hot, _KEYS, F.col("doc_id"), "inner").where(~F.col("doc_id").eqNullSafe(F.col("__stays")))
     dropped = dropped.groupBy("doc_id", "__t").agg(F.array_sort(F.collect_set("__pos")).alias("__gone"))
-    dropped = dropped.select(F.col("doc_id").alias("__doc"), F.col("__t").alias("__text"), "__gone")
-    rows = docs.drop("n_lines", "n_dropped").withColumn("__t", F.xxhash64("text"))
-    rows = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__text")), "left")
+    rows = docs.drop("n_lines", "n_dropped")
+    own, doc, hashed, gone = unused(rows, 4)
+    dropped = dropped.select(F.col("doc_id").alias(doc), F.col("__t").alias(hashed), F.col("__gone").alias(gone))
+    rows = rows.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.withColumn("n_lines", F.size(_lines(F.col("text"))).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), text).otherwise(_without(_lines(F.col("text")), F.col("__gone"))))
-    return rows.drop("__t", "__doc", "__text", "__gone")
+    rows = rows.withColumn("n_lines", F.size(_lines(F.col("text"))).cast("long")).withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), text).otherwise(_without(_lines(F.col("text")), F.col(gone))))
+    return rows.drop(own, doc, hashed, gone)
 
 
 def _without(lines: Column, gone: Column) -> Column:

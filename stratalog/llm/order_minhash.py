@@ -403,5 +403,5 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     same = lambda r: docs["doc_id"].eqNullSafe(r["__d"]) & (F.xxhash64(docs["text"]) == r["__h"]) & docs["text"].isNotNull()
     once = docs.join(marked, same(marked), "left_anti")
     repeated = docs.join(often := marked.where("__stays"), same(often), "left_semi")
-    name = unused(docs)
+    (name,) = unused(docs)
     return once.unionByName(repeated.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)).select(docs.columns)

@@ -40,6 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are of documents; as pages have none, doc_id n is taken for page_id n.  Low quality and toxic ones are bad."""
     labels = _table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     rows = url_reputation.url_filter(_table(spark, sf_dir, "pages"), outcomes)

@@ -7,6 +7,8 @@ differ; a host is blocked if the lower posterior bound of its bad rate is above
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from .host_quality import prior
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: A host is blocked if its bad rate is above MAX_RATE by SIGMAS posterior standard deviations.
 MAX_RATE, SIGMAS = 0.5, 1.0
-#: Suffixes of more than one label under which domains are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "com.cn", "com.mx", "co.in")
+#: The suffixes under which domains are registered: names, `*.name` for all below one, `!name` for what is excepted from that.
+PUBLIC_SUFFIXES = tuple(x for x in (Path(__file__).parent / "public_suffixes.txt").read_text(encoding="utf-8").split("\n") if x and x[0] != "#")
+_IP = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -30,16 +33,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The host's last label, or last two where they are a suffix of LONG_SUFFIXES; a port is left out."""
-    name = F.regexp_replace(host, ":[0-9]*$", "")
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
-
+def named(hosts: DataFrame, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
+    """hosts(host, ...), a row a host, with its registered domain and suffix.
 
-def domain_of(host: Column) -> Column:
-    name = F.regexp_replace(host, ":[0-9]*$", "")
-    return F.when(F.substring_index(name, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    The suffix is the longest of `suffixes` that the host ends with, else its last label; the domain has one label more.
+    A host that is a suffix is its own domain, an IP address too, with an empty suffix.  A port is left out.  The table of
+    suffixes is part of this package, about 10,000 rows, and is broadcast.
+    """
+    kinds = [(x.lstrip("!").removeprefix("*."), -1 if x[0] == "!" else int(x[0] == "*")) for x in suffixes]
+    rules = hosts.sparkSession.createDataFrame(kinds, "__rule string, __more int")
+    name = F.regexp_replace("host", ":[0-9]*$", "")
+    most = max(x.count(".") for x in suffixes) + 1
+    rows = hosts.withColumn("__name", name).withColumn("__labels", F.split("__name", "\\."))
+    ends = F.explode(F.sequence(F.lit(1), F.least(F.size("__labels"), F.lit(most))))
+    ends = rows.select("host", "__labels", ends.alias("__k")).withColumn("__rule", F.array_join(F.slice("__labels", -F.col("__k"), F.col("__k")), "."))
+    found = ends.join(F.broadcast(rules), "__rule").where(F.col("__k") + F.col("__more") <= F.size("__labels"))
+    found = found.groupBy("host").agg(F.max(F.when(F.col("__more") < 0, F.col("__k") - 1)).alias("__except"), F.max(F.col("__k") + F.col("__more")).alias("__most"))
+    found = found.select(F.col("host").alias("__host"), F.coalesce("__except", "__most").alias("__n"))
+    rows = rows.join(found, F.col("host") == F.col("__host"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    ip = F.col("__name").rlike(_IP)
+    part = lambda n: F.array_join(F.slice("__labels", -F.least(n, F.size("__labels")), n), ".")
+    rows = rows.withColumn("domain", F.when(ip, F.col("__name")).otherwise(part(F.col("__n") + 1))).withColumn("suffix", F.when(ip, "").otherwise(part(F.col("__n"))))
+    return rows.drop("__name", "__labels", "__n", "__host")
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -58,7 +73,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     The priors are two numbers a level, which the driver reads from three one-row aggregates.
     """
     hosts = outcomes.groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
-    hosts = written(hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
+    hosts = written(named(hosts), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
 
@@ -100,7 +115,6 @@ def _level(name: str, rows: str) -> str:
          CASE WHEN 0 < k AND k < n THEN least(1000.0, greatest(1.0, k / n * (1 - k / n) / greatest((q - k * k / n) / n - k / n * (1 - k / n) * g / n, 1e-6) - 1)) ELSE 1.0 END AS weight FROM {name}_o)"""
 
 
-_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
 SQL = rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -113,10 +127,18 @@ WITH p AS (
 ), raw AS (
   SELECT host, CAST(sum(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n
   FROM p JOIN labels l ON l.doc_id = p.page_id GROUP BY host
-), named AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS part FROM raw),
-h AS (
-  SELECT host, k, n, array_to_string(CASE WHEN array_to_string(part[-2:], '.') IN ({_LONG}) THEN part[-3:] ELSE part[-2:] END, '.') AS domain,
-         array_to_string(CASE WHEN array_to_string(part[-2:], '.') IN ({_LONG}) THEN part[-2:] ELSE part[-1:] END, '.') AS suffix FROM named
+), listed AS (SELECT unnest(string_split('{" ".join(PUBLIC_SUFFIXES)}', ' ')) AS raw
+), psl AS (SELECT regexp_replace(raw, '^(!|\*\.)', '') AS name, CASE WHEN raw LIKE '!%' THEN -1 WHEN raw LIKE '*.%' THEN 1 ELSE 0 END AS more FROM listed
+), named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM raw
+), parts AS (SELECT *, string_split(name, '.') AS part FROM named
+), ends AS (SELECT host, part, unnest(range(1, len(part) + 1)) AS k FROM parts
+), cut AS (
+  SELECT host, coalesce(max(CASE WHEN more < 0 THEN k - 1 END), max(k + more)) AS n
+  FROM ends JOIN psl ON psl.name = array_to_string(list_slice(part, len(part) - k + 1, len(part)), '.') AND k + more <= len(part) GROUP BY host
+), h AS (
+  SELECT p.host, k, p.n, CASE WHEN regexp_matches(name, '{_IP}') THEN name ELSE array_to_string(list_slice(part, greatest(1, len(part) - coalesce(c.n, 1)), len(part)), '.') END AS domain,
+         CASE WHEN regexp_matches(name, '{_IP}') THEN '' ELSE array_to_string(list_slice(part, len(part) - coalesce(c.n, 1) + 1, len(part)), '.') END AS suffix
+  FROM parts p LEFT JOIN cut c ON c.host = p.host
 ), d AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM h GROUP BY ALL), s AS (SELECT suffix, sum(k) AS k, sum(n) AS n FROM h GROUP BY suffix),
 {_level("s", "s")},
 {_level("d", "d")},
