@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tests_lcs import lcs
+
 from stratalog.llm import common
 from stratalog.llm import order_minhash as om
 
@@ -15,15 +17,6 @@ def _words(rng, n, of=10**9):
     return [f"w{rng.randrange(of)}" for _ in range(n)]
 
 
-def lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def similarity(a, b):
     return lcs(a, b) / max(len(a), len(b)) if a and b else 0.0
 
