@@ -33,8 +33,8 @@ from .units import UnitMemo, joined
 SHINGLE, SIMILARITY, HASHES, ORDER = 5, 0.8, 24, 3
 #: Nodes of a bucket that are all paired, nodes of a larger bucket that are compared with one of them first.
 PAIRS, FAN = 12, 32
-#: Words of a block of a larger bucket; a task joins one block with another.
-BLOCK = 1 << 20
+#: Words of a block of a larger bucket; a task joins one block with another.  Words of a text that are aligned at a time.
+BLOCK, ROWS = 1 << 20, 8192
 BATCH_BYTES = 2 << 20
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -142,7 +142,8 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> fl
     text's words; some lower number where that is under the threshold.
 
     Where `threshold` is reached, no aligned pair of words is shifted by more than (1 - threshold) of the longer text, so
-    the alignment is confined to that band.  Rows of the band are the bits of a number, taken in blocks of columns.
+    only that band is looked at.  Rows are the bits of a number, in chunks of ROWS; what a chunk carries over in each
+    column goes into the next one, so that a long text takes no more memory than a chunk's and a byte a word.
     """
     n, m = len(a), len(b)
     most = max(n, m)
@@ -153,36 +154,25 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> fl
     low -= head
     tail = int(np.argmin(same)) if low and not (same := a[n - low :][::-1] == b[m - low :][::-1]).all() else low
     a, b = a[head : n - tail].tolist(), b[head : m - tail].tolist()
-    band, total = int((1 - threshold) * most + 1e-9) + 1, head + tail
-    least = threshold * most - 1e-9
-    if not a or not b:
-        return total / most
-    if total + min(len(a), len(b)) < least:
-        return 0.0
-    step = max(1024, band)
-    lo = row = width = 0  # row: a bit for each of `width` words of a from lo on, 0 where the subsequence has grown
-    for j in range(0, len(b), step):
-        columns = b[j : j + step]
-        start, stop = max(0, min(len(a), j - band)), min(len(a), j + step + band)
-        dropped = start - lo
-        if dropped:
-            total += dropped - (row & ((1 << dropped) - 1)).bit_count()
-            row >>= dropped
-            width -= dropped
-            lo = start
-        row |= ((1 << (stop - start - width)) - 1) << width
-        width = stop - start
+    band, total, least = int((1 - threshold) * most + 1e-9) + 1, head + tail, threshold * most - 1e-9
+    carried = bytearray(len(b))
+    for lo in range(0, len(a), ROWS):
+        if total + min(len(a) - lo, len(b)) < least:
+            return 0.0
+        rows = a[lo : lo + ROWS]
         places: dict[int, int] = {}
-        for i, w in enumerate(a[start:stop]):
+        for i, w in enumerate(rows):
             places[w] = places.get(w, 0) | 1 << i
-        full, window = (1 << width) - 1, (1 << (2 * band + 1)) - 1
-        for c, w in enumerate(columns, j):
-            if hit := places.get(w):
-                shift = c - band - start
-                hit &= window << shift if shift >= 0 else window >> -shift
-                used = row & hit
-                row = ((row + used) | (row - used)) & full
-    total += width - row.bit_count()
+        full = row = (1 << len(rows)) - 1  # a bit for each word, 0 where the subsequence has grown
+        first, stop = max(0, lo - band), min(len(b), lo + len(rows) + band)
+        for c in range(first, stop):
+            used = row & places.get(b[c], 0)
+            if used or carried[c]:
+                grown = row + used + carried[c]
+                row = (grown | (row - used)) & full
+                carried[c] = grown > full
+        carried[:first] = bytes(first)
+        total += len(rows) - row.bit_count()
     return total / most
 
 
@@ -320,9 +310,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY)
     """Those of pairs(a, b) whose nodes(node, words) align to the threshold or more.  Words go once to each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            good = [alignment(x, y, threshold) >= threshold - 1e-9 for x, y in zip(_words(part.column(2)), _words(part.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
+        for batch in batches:
+            for part in by_bytes(batch, 2, BATCH_BYTES):
+                good = [alignment(x, y, threshold) >= threshold - 1e-9 for x, y in zip(_words(part.column(2)), _words(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
     one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
     both = one.join(nodes.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")

@@ -59,12 +59,28 @@ def test_alignment_is_the_common_subsequence():
         assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
 
 
-def test_alignment_in_blocks_of_columns():
-    rng = random.Random(4)
-    a = [rng.randrange(500) for _ in range(5000)]
-    b = [w for w in a if rng.random() > 0.08]
-    b[2500:2500] = [rng.randrange(500) for _ in range(300)]
-    assert om.alignment(np.array(a, np.uint64), np.array(b, np.uint64)) == pytest.approx(similarity(a, b))
+@pytest.mark.parametrize("rows", [7, 64, 1000])
+def test_alignment_in_chunks_of_rows(monkeypatch, rows):
+    monkeypatch.setattr(om, "ROWS", rows)
+    rng = random.Random(rows)
+    for _ in range(60):
+        a = [rng.randrange(rng.choice((4, 60))) for _ in range(rng.randrange(20, 300))]
+        b = [w for w in a if rng.random() > 0.1]
+        at = rng.randrange(len(b))
+        b[at:at] = [rng.randrange(60) for _ in range(rng.randrange(len(a) // 8))]
+        want, got = similarity(a, b), om.alignment(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
+
+
+def test_alignment_of_long_texts_is_bounded_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 50_000, 120_000).astype(np.uint64)
+    b = np.delete(a, rng.integers(0, len(a), 12_000))
+    tracemalloc.start()
+    assert om.alignment(a, b) == pytest.approx(len(b) / len(a))
+    assert tracemalloc.get_traced_memory()[1] < 60e6
 
 
 def test_repeated_shingles_have_different_labels():
