@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,27 +111,102 @@ def upper_bound(items: Column, target: Column) -> Column:
     return F.size(F.filter(items, lambda x: x <= target))
 
 
-@F.pandas_udf(T.LongType())
-def hash32(data: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else codec.hash32(bytes(d), int(s)) for d, s in zip(data, seed, strict=True)], dtype="Int64")
+def _hex2(n: Column) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 2, "0")
+
+
+def varint(n: Column) -> Column:
+    """Seven bits a byte, lowest first, the high bit saying that more follow; null for a negative number."""
+    n = n.cast("long")
+    part = lambda i: F.shiftright(n, 7 * i)
+    digits = [F.when((part(i) > 0) | F.lit(i == 0), _hex2(part(i).bitwiseAND(F.lit(127)) + F.when(part(i + 1) > 0, 128).otherwise(0))).otherwise("") for i in range(9)]
+    return F.when(n >= 0, F.unhex(F.concat(*digits)))
+
+
+def read_varint(data: Column) -> Column:
+    """struct(number, length) of the varint that data begins with; null where it is cut short or beyond 63 bits."""
+    h = F.hex(data)
+    code = F.regexp_extract(h, "^(?:[89A-F].){0,8}[0-7].", 0)
+    length = F.length(code) / 2
+    byte = lambda i: F.conv(F.substring(code, 2 * i + 1, 2), 16, 10).cast("long").bitwiseAND(F.lit(127))
+    number = reduce(lambda acc, i: acc + F.when(length > i, F.shiftleft(byte(i), 7 * i)).otherwise(0), range(9), F.lit(0).cast("long"))
+    return F.when(code != "", F.struct(number.alias("number"), length.cast("int").alias("length")))
+
+
+def _byte(data: Column, at: Column) -> Column:
+    """The byte at a place from 0 on, as a number."""
+    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+
 
+def separator(start: Column, limit: Column) -> Column:
+    """A short key in [start, limit); start itself where none is shorter."""
+    start, limit = start.cast("binary"), limit.cast("binary")
+    same = shared_prefix(start, limit)
+    a, b = _byte(start, same), _byte(limit, same)
+    short = F.concat(F.substring(start, F.lit(1), same), F.unhex(_hex2(a + 1)))
+    return F.when((same < F.least(F.octet_length(start), F.octet_length(limit))) & (a + 1 < b), short).otherwise(F.when(limit.isNotNull(), start))
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def bloom_positions(key: pd.Series, bits: pd.Series) -> pd.Series:
-    bloom = codec.Bloom()
-    return pd.Series([bloom.positions(bytes(k), int(b)) for k, b in zip(key, bits, strict=True)])
 
+def successor(key: Column) -> Column:
+    """A short key at or after key: its first byte below 255, one more, with what is before; key itself if there is none."""
+    key = key.cast("binary")
+    full = F.length(F.regexp_extract(F.hex(key), "^(?:FF)*", 0)) / 2
+    short = F.concat(F.substring(key, F.lit(1), full.cast("int")), F.unhex(_hex2(_byte(key, full.cast("int")) + 1)))
+    return F.when(full < F.octet_length(key), short).otherwise(key)
 
-@F.pandas_udf(T.BinaryType())
-def separator(start: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([codec.separator(bytes(a), bytes(b)) for a, b in zip(start, limit, strict=True)])
 
+_MAX_TAG = bytes([1, *[255] * 7])
 
-@F.pandas_udf(T.BinaryType())
-def successor(key: pd.Series) -> pd.Series:
-    return pd.Series([codec.successor(bytes(k)) for k in key])
 
+def internal_separator(start: Column, limit: Column) -> Column:
+    """A short internal key between two: the separator of the user keys with the greatest tag, if it is shorter and
+    greater than start's user key, else start."""
+    mine = user_key(start)
+    short = separator(mine, user_key(limit))
+    return F.when((F.octet_length(short) < F.octet_length(mine)) & (mine < short), F.concat(short, F.lit(_MAX_TAG))).otherwise(start)
 
-@F.pandas_udf(T.BinaryType())
-def varint(n: pd.Series) -> pd.Series:
-    return pd.Series([codec.varint(int(x)) for x in n])
+
+def internal_successor(key: Column) -> Column:
+    mine = user_key(key)
+    short = successor(mine)
+    return F.when((F.octet_length(short) < F.octet_length(mine)) & (mine < short), F.concat(short, F.lit(_MAX_TAG))).otherwise(key)
+
+
+def now_micros() -> Column:
+    """The wall clock in microseconds."""
+    return F.unix_micros(F.current_timestamp())
+
+
+def hashes32(keys: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """codec.hash32 of many keys at once: word i of all keys that have one, then the rests."""
+    m, u32 = np.uint64(0xC6A4A793), np.uint64(0xFFFFFFFF)
+    n = np.array([len(k) for k in keys], np.int64)
+    width = int(n.max(initial=0)) + 4 >> 2 << 2
+    data = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in keys), "<u4").reshape(len(keys), -1).astype(np.uint64)
+    h = seeds.astype(np.uint64) ^ (n.astype(np.uint64) * m & u32)
+    for i in range(data.shape[1]):
+        more = n >= 4 * i + 4
+        if not more.any():
+            break
+        step = (h + data[:, i] & u32) * m & u32
+        h = np.where(more, step ^ (step >> np.uint64(16)), h)
+    rest = n % 4 > 0
+    last = (h + data[np.arange(len(keys)), np.minimum(n // 4, data.shape[1] - 1)] & u32) * m & u32
+    return np.where(rest, last ^ (last >> np.uint64(24)), h)
+
+
+@F.pandas_udf(T.LongType())
+def hash32(data: pd.Series, seed: pd.Series) -> pd.Series:
+    """codec.hash32, a batch at a time; null for a null key."""
+    there = data.notna() & seed.notna()
+    out = pd.Series([None] * len(data), dtype="Int64")
+    if there.any():
+        out[there.to_numpy()] = hashes32([bytes(d) for d in data[there]], seed[there].to_numpy(np.int64)).astype(np.int64)
+    return out
+
+
+def bloom_positions(key: Column, bits: Column, probes: int = 6) -> Column:
+    """The bits that a key sets in a filter of so many bits: its hash, and steps of the hash turned by 15 bits."""
+    h = hash32(key, F.lit(codec.BLOOM_SEED))
+    step = F.shiftright(h, 17).bitwiseOR(F.pmod(F.shiftleft(h, 15), F.lit(_U32)))
+    return F.array(*[F.pmod(F.pmod(h + step * i, F.lit(_U32)), bits.cast("long")).cast("int") for i in range(probes)])

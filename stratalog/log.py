@@ -36,8 +36,8 @@ def orders(spark: SparkSession, sf_dir: str, seq: int | None = None) -> DataFram
     return rows.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") + 1).alias("seq"), op.alias("op"), F.col("o_totalprice").alias("v"))
 
 
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File metadata of a store that holds the orders: level, file_no, size, lo, hi.
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a store's files that hold the orders: level, file_no, k, seq, bytes.
 
     The last digit of the order picks the level.  Level 0 has a file for each 500 orders, which overlap; deeper levels
     have a file for each range of customers, which don't.
@@ -45,6 +45,10 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = F.col("o_orderkey") % 10
     level = F.when(digit == 0, 0).when(digit < 3, 1).when(digit < 6, 2).otherwise(3)
     run = F.when(digit == 0, F.floor(F.col("o_orderkey") / 500)).when(digit < 3, F.floor(F.col("o_custkey") / 200)).when(digit < 6, F.floor(F.col("o_custkey") / 100)).otherwise(F.floor(F.col("o_custkey") / 50))
-    rows = table(spark, sf_dir, "orders").select(level.alias("level"), run.alias("run"), F.col("o_custkey").alias("k"))
-    files = rows.groupBy("level", "run").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    return files.select("level", (F.col("level") * 1_000_000 + F.col("run")).cast("long").alias("file_no"), (F.col("n") * 65536).alias("size"), "lo", "hi")
+    rows = table(spark, sf_dir, "orders").select(level.alias("level"), run.alias("run"), F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"))
+    return rows.select("level", (F.col("level") * 1_000_000 + F.col("run")).cast("long").alias("file_no"), "k", "seq", (60_000 + F.col("seq") % 40 * 250).cast("long").alias("bytes"))
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File metadata of that store: level, file_no, size, lo, hi."""
+    return entries(spark, sf_dir).groupBy("level", "file_no").agg(F.sum("bytes").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"))

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..log import DELETE
+from . import order
+from .files import interval_join
 from .read import newest
 
 #: A run's output ends before it overlaps more than this many bytes of the level after next.
 GRANDPARENT_FILES = 10
 
 
-def retained(log: DataFrame, bound: int, deeper: DataFrame | None = None, cell: int = 256) -> DataFrame:
+def retained(log: DataFrame, bound: int, deeper: DataFrame | None = None) -> DataFrame:
     """The rows that readers at `bound` and later can still see.
 
     A version goes if the next newer one of its key is at or before the bound: so what stays is every row beyond the
@@ -25,15 +27,15 @@ def retained(log: DataFrame, bound: int, deeper: DataFrame | None = None, cell:
     if deeper is None:
         last = last.where(F.col("op") != DELETE)
     else:
-        last = last.where((F.col("op") != DELETE)).unionByName(_spanned(last.where(F.col("op") == DELETE), deeper, cell))
+        last = last.where((F.col("op") != DELETE)).unionByName(_spanned(last.where(F.col("op") == DELETE), deeper))
     return after.unionByName(last.select(*after.columns))
 
 
-def _spanned(rows: DataFrame, files: DataFrame, cell: int) -> DataFrame:
+def _spanned(rows: DataFrame, files: DataFrame) -> DataFrame:
     """The rows whose key lies within a file."""
-    ranges = files.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))).alias("__cell"))
-    rows = rows.withColumn("__k", F.floor(F.col("k") / cell))
-    return rows.join(ranges, (F.col("__k") == F.col("__cell")) & F.col("k").between(F.col("lo"), F.col("hi")), "left_semi").drop("__k")
+    asked = rows.select(F.col("k").alias("__lo"), F.col("k").alias("__hi"))
+    keys = interval_join(asked, files.select(F.col("lo").alias("__a"), F.col("hi").alias("__z")), "__lo", "__hi", "__a", "__z").select(F.col("__lo").alias("k")).distinct()
+    return rows.join(keys, "k", "left_semi")
 
 
 def reasons(log: DataFrame, bound: int) -> DataFrame:
@@ -65,23 +67,31 @@ def cut_by_size(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("run").applyInPandas(walk, "run long, position long, block long")
 
 
-def cut_by_grandparents(keys: DataFrame, files: list[tuple[int, int]], most: int) -> DataFrame:
+def cut_by_grandparents(keys: DataFrame, files: DataFrame, most: int) -> DataFrame:
     """keys(run, k) in key order with `output`: a new output starts before the key that would bring the overlapped bytes
-    of files [(hi, size), ...] (in order of hi) beyond `most`."""
-    files = sorted(files)
+    of files(hi, size) beyond `most`.
+
+    Only the keys at which a file ends can start an output, and they are one row a file: each key learns in parallel how
+    many bytes of files end before it, and one task a run walks over the keys where that number changes.  The first key's
+    own file isn't counted until the run has passed it.
+    """
+    ends = files.groupBy("hi").agg(F.sum("size").alias("size"))
+    cuts = order.bounds(keys.select(F.col("k").alias("key")))
+    both = keys.select("run", F.col("k").alias("key"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("last")).distinct()
+    runs = keys.select("run").distinct()
+    both = both.unionByName(runs.crossJoin(ends.select(F.col("hi").alias("key"), F.col("size").cast("long").alias("size"), F.lit(1).alias("last"))))  # a run overlaps the level's files
+    both = both.withColumnRenamed("run", "grp").withColumn("__cell", order.cell_of(F.col("key"), cuts))
+    passed = order.running_sum(both, ["key", "last"], "size", "passed").where(F.col("last") == 0)
+    steps = passed.groupBy("grp", "passed").agg(F.min("key").alias("k"))
 
     def walk(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("k")
-        at, seen, size, output, out = 0, False, 0, 0, []
-        for k in run["k"]:
-            while at < len(files) and k > files[at][0]:
-                if seen:
-                    size += files[at][1]
-                at += 1
-            seen = True
-            if size > most:
-                size, output = 0, output + 1
+        since, output, out = run["passed"].iloc[0], 0, []
+        for p in run["passed"]:
+            if p - since > most:
+                since, output = p, output + 1
             out.append(output)
-        return run.assign(output=out)[["run", "k", "output"]]
+        return run.assign(output=out)[["grp", "passed", "output"]]
 
-    return keys.groupBy("run").applyInPandas(walk, "run long, k long, output long")
+    outputs = steps.groupBy("grp").applyInPandas(walk, "grp long, passed long, output long")
+    return passed.join(outputs, ["grp", "passed"]).select(F.col("grp").alias("run"), F.col("key").alias("k"), "output")

@@ -1,7 +1,7 @@
-"""Queries over file metadata: files(level, file_no, size, lo, hi), with inclusive bounds.
+"""Queries over file metadata: files(level, file_no, size, lo, hi), with inclusive bounds of any ordered type.
 
-Interval joins are equi-joins on cells of keys: either side goes to the cells it touches, and a pair counts in the cell
-that holds the later of the two beginnings, so that no pair shows twice and none needs a nested loop.
+Interval joins are equi-joins on cells of keys (order.py): either side goes to the cells it touches, and a pair counts in
+the cell that holds the later of the two beginnings, so that no pair shows twice and none needs a nested loop.
 """
 
 from __future__ import annotations
@@ -9,20 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 #: Files that start a compaction of level 0, and the byte budget of level 1.
 L0_FILES, L1_BYTES = 4, 10 << 20
 LEVELS = 7
+#: Bytes that a seek costs as much as, and the fewest seeks that a file is allowed before it asks for a compaction.
+SEEK_BYTES, LEAST_SEEKS = 16 << 10, 100
 
 
-def _cells(rows: DataFrame, lo: str, hi: str, cell: int) -> DataFrame:
-    return rows.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
+def _spread(rows: DataFrame, lo: str, hi: str, cuts: list, name: str) -> DataFrame:
+    return rows.withColumn(name, F.explode(F.sequence(order.cell_of(F.col(lo), cuts), order.cell_of(F.col(hi), cuts))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str, cell: int, also: Column | None = None) -> DataFrame:
-    """All pairs of rows whose intervals meet; the two sides' columns must differ."""
-    a, b = _cells(left, l_lo, l_hi, cell), _cells(right, r_lo, r_hi, cell).withColumnRenamed("__cell", "__cell_r")
+def interval_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str, also: Column | None = None) -> DataFrame:
+    """All pairs of rows whose intervals meet; the two sides' columns must differ.  An interval whose end is before its
+    beginning meets nothing."""
+    left, right = left.where(F.col(l_lo) <= F.col(l_hi)), right.where(F.col(r_lo) <= F.col(r_hi))
+    cuts = order.bounds(left.select(F.col(l_lo).alias("key")).unionByName(right.select(F.col(r_lo).alias("key"))))
+    a, b = _spread(left, l_lo, l_hi, cuts, "__cell"), _spread(right, r_lo, r_hi, cuts, "__cell_r")
     on = (F.col("__cell") == F.col("__cell_r")) & (F.col(l_lo) <= F.col(r_hi)) & (F.col(r_lo) <= F.col(l_hi))
-    on &= F.col("__cell") == F.floor(F.greatest(l_lo, r_lo) / cell)
+    on &= F.col("__cell") == order.cell_of(F.greatest(l_lo, r_lo), cuts)
     return a.join(b, on if also is None else on & also).drop("__cell", "__cell_r")
 
 
@@ -30,37 +37,72 @@ def prefixed(files: DataFrame, prefix: str) -> DataFrame:
     return files.select(*[F.col(c).alias(f"{prefix}_{c}") for c in files.columns])
 
 
-def overlaps(files: DataFrame, cell: int = 256) -> DataFrame:
+def overlaps(files: DataFrame) -> DataFrame:
     """Pairs a_file_no < b_file_no of files of one level that overlap."""
     also = (F.col("a_level") == F.col("b_level")) & (F.col("a_file_no") < F.col("b_file_no"))
-    return interval_join(prefixed(files, "a"), prefixed(files, "b"), "a_lo", "a_hi", "b_lo", "b_hi", cell, also)
+    return interval_join(prefixed(files, "a"), prefixed(files, "b"), "a_lo", "a_hi", "b_lo", "b_hi", also)
+
 
+def has_overlap(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(range_id, level, lo, hi), null bounds being open, with `overlaps`: whether a file of the level meets the
+    range.  Open bounds become the ends of all files."""
+    ends = files.agg(F.min("lo").alias("__a"), F.max("hi").alias("__z"))
+    asked = ranges.crossJoin(ends).select("range_id", F.col("level").alias("__level"), F.coalesce("lo", "__a").alias("__lo"), F.coalesce("hi", "__z").alias("__hi"))  # one row
+    met = interval_join(asked, files, "__lo", "__hi", "lo", "hi", F.col("__level") == F.col("level")).select("range_id").distinct().withColumn("overlaps", F.lit(True))
+    return ranges.join(met, "range_id", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
 
-def files_for_keys(files: DataFrame, keys: DataFrame, cell: int = 256) -> DataFrame:
+
+def files_for_keys(files: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
     """keys(key) with the files that may hold each, and `probe`, the order in which a lookup tries them: level 0 from the
-    newest file on, then the one file of each deeper level."""
-    rows = _cells(files, "lo", "hi", cell).join(keys.withColumn("__k", F.floor(F.col("key") / cell)), F.col("__cell") == F.col("__k")).where(F.col("key").between(F.col("lo"), F.col("hi")))
-    order = Window.partitionBy("key").orderBy("level", F.desc("file_no"))
-    return rows.drop("__cell", "__k").withColumn("probe", F.row_number().over(order))
+    newest file on, then the one file of each deeper level.  most: probes at most, for a charge of seeks 2."""
+    asked = keys.select(F.col("key"), F.col("key").alias("__k"))
+    rows = interval_join(asked, files, "key", "__k", "lo", "hi").drop("__k")
+    probe = Window.partitionBy("key").orderBy("level", F.desc("file_no"))
+    rows = rows.withColumn("probe", F.row_number().over(probe))
+    return rows if most is None else rows.where(F.col("probe") <= most)
+
+
+def charged(files: DataFrame, lookups: DataFrame) -> DataFrame:
+    """files with `allowed_seeks` and `charges`: a lookup(key) that has to try two files charges the first of them.  A file
+    whose charges reach its allowance asks for a compaction."""
+    tried = files_for_keys(files, lookups.select("key").distinct(), 2)
+    two = tried.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("file_no", "probe").alias("file_no"), F.min_by("level", "probe").alias("level")).where(F.col("n") == 2)
+    times = lookups.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    charges = two.join(times, "key").groupBy("level", "file_no").agg(F.sum("times").alias("charges"))
+    allowed = F.greatest(F.floor(F.col("size") / SEEK_BYTES), F.lit(LEAST_SEEKS))
+    return files.join(charges, ["level", "file_no"], "left").withColumn("charges", F.coalesce("charges", F.lit(0))).withColumn("allowed_seeks", allowed)
 
 
 def find_file(files: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(t) with the first file of a sorted level whose hi is at or after t; none if there is none."""
-    return targets.join(files, F.col("hi") >= F.col("t")).groupBy("t").agg(F.min_by("file_no", F.struct("hi", "file_no")).alias("file_no"))
+    found = order.next_mark(targets, files.select(F.col("hi").alias("key"), F.col("file_no").alias("mark")))
+    return found.where(F.col("mark").isNotNull()).withColumnRenamed("mark", "file_no")
 
 
-def next_level_overlap(files: DataFrame, cell: int = 256) -> DataFrame:
+def next_level_overlap(files: DataFrame) -> DataFrame:
     """Bytes of the next level that each file overlaps."""
-    pairs = interval_join(prefixed(files, "a"), prefixed(files, "b"), "a_lo", "a_hi", "b_lo", "b_hi", cell, F.col("b_level") == F.col("a_level") + 1)
+    pairs = interval_join(prefixed(files, "a"), prefixed(files, "b"), "a_lo", "a_hi", "b_lo", "b_hi", F.col("b_level") == F.col("a_level") + 1)
     return pairs.groupBy("a_level", "a_file_no").agg(F.sum("b_size").alias("overlap_bytes"))
 
 
+def most_overlap(files: DataFrame) -> DataFrame:
+    """One row `overlap_bytes`: the most of the next level that a file of level 1 and deeper overlaps."""
+    rows = next_level_overlap(files.where(F.col("level") >= 1))
+    return rows.agg(F.coalesce(F.max("overlap_bytes"), F.lit(0)).cast("long").alias("overlap_bytes"))
+
+
 def islands(files: DataFrame) -> DataFrame:
-    """Files of one overlapping level with `island`: the sets that grow together to a fixed point."""
-    order = Window.partitionBy("level").orderBy("lo", "file_no")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
-    return files.withColumn("__new", new).withColumn("island", F.sum("__new").over(order)).drop("__new")
+    """Files with `island`: in each level, the sets of files that grow together to a fixed point."""
+    by = ["lo", "file_no"]
+    rows = order.celled(files.withColumn("grp", F.col("level")), "lo")
+    rows = order.running_max(rows, by, "hi", "__reach")
+    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("lo") > F.col("__reach")), 1).otherwise(0))
+    return order.running_sum(rows, by, "__new", "island").drop("grp", "__cell", "__reach", "__new")
+
+
+def ranges(files: DataFrame) -> DataFrame:
+    """(level, lo, hi): the keys that each level spans."""
+    return files.groupBy("level").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def overlapping(files: DataFrame, level: int, lo, hi) -> DataFrame:
@@ -100,30 +142,60 @@ def pick_file(files: DataFrame, pointers: DataFrame) -> DataFrame:
     return rows.groupBy("level").agg(F.min(F.struct("wrapped", "lo", "file_no")).alias("r")).select("level", F.col("r.file_no").alias("file_no"), F.col("r.wrapped").alias("wrapped"))
 
 
-def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges(range_id, start, stop) with the bytes of files before stop less those before start, 0 at least; a file that
-    spans a bound counts as far as the bound cuts its key range."""
+def block_index(entries: DataFrame, block_bytes: int = 4096) -> DataFrame:
+    """(level, file_no, block, place, bytes, hi) of entries(level, file_no, k, seq, bytes): a file's entries in the order of
+    keys and versions, cut into blocks where their bytes pass a multiple of block_bytes; `place` is where the block begins
+    in its file.  A file is one window, which its size bounds."""
+    upto = F.sum("bytes").over(Window.partitionBy("level", "file_no").orderBy("k", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = entries.withColumn("__upto", upto).withColumn("block", F.floor((F.col("__upto") - F.col("bytes")) / block_bytes))
+    return rows.groupBy("level", "file_no", "block").agg(F.min(F.col("__upto") - F.col("bytes")).cast("long").alias("place"), F.sum("bytes").cast("long").alias("bytes"), F.max("k").alias("hi"))
+
+
+def block_offsets(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets(t) with `place`, where the block begins that would hold t in one file's blocks(block, place, bytes, hi), or the
+    end of the blocks beyond the last key."""
+    found = order.next_mark(targets, blocks.select(F.col("hi").alias("key"), F.col("place").alias("mark")))
+    end = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("__end"))
+    return found.crossJoin(end).withColumn("place", F.coalesce("mark", "__end").cast("long")).drop("mark", "__end")  # one row
+
 
-    def before(bound: str) -> Column:
-        part = F.floor(F.col("size") * (F.col(bound) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1))
-        return F.when(F.col("hi") < F.col(bound), F.col("size")).when(F.col("lo") >= F.col(bound), 0).otherwise(part)
+def approximate_sizes(files: DataFrame, blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(range_id, start, stop) with the bytes of files before stop less those before start, 0 at least.
 
-    sums = ranges.join(files, F.col("lo") < F.col("stop"), "left").groupBy("range_id").agg(F.sum(before("stop") - before("start")).alias("bytes"))
-    return sums.select("range_id", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).cast("long").alias("bytes"))
+    A file that ends at or before a bound counts whole, one that begins beyond it not at all; of a file in between counts
+    what lies before the block(level, file_no, block, place, hi) that would hold the bound.  Only files that a bound cuts
+    are looked into.
+    """
+    points = ranges.select("range_id", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("t")), F.struct(F.lit("stop").alias("side"), F.col("stop").alias("t")))).alias("p")).select("range_id", "p.*")
+    asked = points.select(F.col("t").alias("t"), F.col("t").alias("__t")).distinct()
+    cut = interval_join(asked, files.select("level", "file_no", "lo", "hi"), "t", "__t", "lo", "hi").where(F.col("hi") > F.col("t")).drop("__t")
+    inside = cut.select("t", "level", "file_no").join(blocks.select("level", "file_no", "place", F.col("hi").alias("b_hi")), ["level", "file_no"]).where(F.col("b_hi") >= F.col("t"))
+    inside = inside.groupBy("t", "level", "file_no").agg(F.min("place").alias("place")).groupBy("t").agg(F.sum("place").alias("inside"))
+    cuts = order.bounds(files.select(F.col("hi").alias("key")).unionByName(asked.select(F.col("t").alias("key"))))
+    both = files.select(F.lit(1).alias("grp"), F.col("hi").alias("key"), F.col("size").alias("size"), F.lit(0).alias("last")).unionByName(asked.select(F.lit(1).alias("grp"), F.col("t").alias("key"), F.lit(0).cast("long").alias("size"), F.lit(1).alias("last")))
+    both = order.running_sum(both.withColumn("__cell", order.cell_of(F.col("key"), cuts)), ["key", "last"], "size", "whole").where(F.col("last") == 1)
+    at = both.select(F.col("key").alias("t"), "whole").join(inside, "t", "left").select("t", (F.col("whole") + F.coalesce("inside", F.lit(0))).alias("before"))
+    sums = points.join(at, "t").groupBy("range_id").agg(F.sum(F.when(F.col("side") == "stop", F.col("before")).otherwise(-F.col("before"))).alias("bytes"))
+    return sums.select("range_id", F.greatest(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def apply_edits(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """The files of the next version."""
-    return base.unionByName(added).join(removed.select("level", "file_no"), ["level", "file_no"], "left_anti")
-
-
-def output_level(files: DataFrame, lo, hi, deepest: int = 2, most: int = 10 * (2 << 20)) -> int:
-    """The level for a flushed buffer with keys [lo, hi]: the deepest up to `deepest` that it reaches without meeting a
-    file, nor more than `most` bytes one level further on."""
-    meets = (F.col("lo") <= F.lit(hi)) & (F.col("hi") >= F.lit(lo))
-    met = {r["level"]: r["b"] for r in files.where(meets).groupBy("level").agg(F.sum("size").alias("b")).collect()}  # a row a level
-    level = 0
-    if 0 not in met:
-        while level < deepest and level + 1 not in met and met.get(level + 2, 0) <= most:
-            level += 1
-    return level
+    """The files of the next version: an added file stays though it is removed as well."""
+    keys = ["level", "file_no"]
+    return base.join(removed.select(keys), keys, "left_anti").join(added.select(keys), keys, "left_anti").unionByName(added)
+
+
+def misplaced(files: DataFrame) -> DataFrame:
+    """Pairs of files of one level beyond 0 that overlap: a version with any is broken."""
+    return overlaps(files.where(F.col("level") >= 1))
+
+
+def output_levels(files: DataFrame, ranges: DataFrame, most: int = 10 * (2 << 20)) -> DataFrame:
+    """ranges(range_id, a, z) with the level for a flushed buffer of these keys: the deepest up to 2 that it reaches without
+    meeting a file, nor more than `most` bytes one level further on."""
+    met = interval_join(ranges.select("range_id", "a", "z"), files, "a", "z", "lo", "hi")
+    totals = [F.sum(F.when(F.col("level") == n, F.col("size"))).alias(f"m{n}") for n in range(4)]
+    rows = ranges.select("range_id").join(met.groupBy("range_id").agg(*totals), "range_id", "left")
+    first = F.col("m0").isNull() & F.col("m1").isNull() & (F.coalesce("m2", F.lit(0)) <= most)
+    second = F.col("m2").isNull() & (F.coalesce("m3", F.lit(0)) <= most)
+    return rows.select("range_id", F.when(first & second, 2).when(first, 1).otherwise(0).alias("level"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import DELETE, PUT
+from . import order
 
 
 def newest(log: DataFrame, seq: int | None = None) -> DataFrame:
@@ -81,23 +82,37 @@ def versions(log: DataFrame, key=None) -> DataFrame:
     return rows.withColumn("v", F.when(F.col("op") == PUT, F.col("v")))
 
 
-def ranked(view: DataFrame, cell: int = 1024, reverse: bool = False) -> DataFrame:
-    """view with `position`, from 1 on in the order of integer keys: in cells of `cell` keys, plus the rows before."""
-    rows = view.withColumn("__cell", F.floor(F.col("k") / cell))
-    order = (lambda c: F.desc(c)) if reverse else F.col
-    counts = rows.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(order("__cell")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(order("k")))
-    return rows.withColumn("__in", inside).join(counts, "__cell").withColumn("position", F.col("__before") + F.col("__in")).drop("__cell", "__in", "__before")
+def ranked(view: DataFrame, reverse: bool = False, by: list[str] | None = None) -> DataFrame:
+    """view with `position`, from 1 on in the order of k (and of further columns `by`): inside cells of neighbouring keys,
+    plus the rows of the cells before."""
+    rows = order.celled(view, "k")
+    by = by or []
+    return order.numbered(rows, [*order.ordered(["k"], reverse), *order.ordered(by, not reverse)], reverse).drop("__cell")
 
 
-def neighbours(view: DataFrame, cell: int = 1024) -> DataFrame:
+def internal_order(log: DataFrame) -> DataFrame:
+    """Every version with its `position`: keys ascending, in each key the newest first."""
+    return ranked(versions(log), by=["seq"])
+
+
+def listing(log: DataFrame) -> DataFrame:
+    """(k, entries): the versions of each key, newest first, as `[ v2, DEL, v1 ]`."""
+    entry = F.when(F.col("op") == DELETE, "DEL").otherwise(F.col("v").cast("string"))
+    rows = log.groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("s"), entry.alias("e")))).alias("es"))
+    return rows.select("k", F.concat(F.lit("[ "), F.array_join("es.e", ", "), F.lit(" ]")).alias("entries"))
+
+
+def valid(view: DataFrame) -> bool:
+    """Whether a cursor on the view stands on an entry."""
+    return not view.isEmpty()
+
+
+def neighbours(view: DataFrame) -> DataFrame:
     """view with prev_k and next_k: inside cells of keys, and at a cell's ends from the neighbouring cells' ends."""
-    rows = view.withColumn("__cell", F.floor(F.col("k") / cell))
+    rows = order.celled(view, "k")
     ends = rows.groupBy("__cell").agg(F.min("k").alias("__lo"), F.max("k").alias("__hi"))
-    over = Window.orderBy("__cell")
-    ends = ends.select("__cell", F.lag("__hi").over(over).alias("__p"), F.lead("__lo").over(over).alias("__q"))
+    over = Window.orderBy("__cell")  # a row a cell
+    ends = ends.select(F.col("__cell").alias("__c"), F.lag("__hi").over(over).alias("__p"), F.lead("__lo").over(over).alias("__q"))
     inside = Window.partitionBy("__cell").orderBy("k")
-    rows = rows.withColumn("prev_k", F.lag("k").over(inside)).withColumn("next_k", F.lead("k").over(inside)).join(ends, "__cell")
-    return rows.withColumn("prev_k", F.coalesce("prev_k", "__p")).withColumn("next_k", F.coalesce("next_k", "__q")).drop("__cell", "__p", "__q")
+    rows = rows.withColumn("prev_k", F.lag("k").over(inside)).withColumn("next_k", F.lead("k").over(inside)).join(ends, F.col("__cell") == F.col("__c"))
+    return rows.withColumn("prev_k", F.coalesce("prev_k", "__p")).withColumn("next_k", F.coalesce("next_k", "__q")).drop("__cell", "__c", "__p", "__q")

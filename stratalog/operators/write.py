@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions.codec import varint_length
 from ..log import DELETE, PUT
 
@@ -16,9 +18,10 @@ BATCH_SCHEMA = "ordinal long, op int, k binary, v binary"
 
 @dataclass
 class WriteBatch:
-    """Writes that are applied together, in order."""
+    """Writes that are applied together, in order; sequence is the number of the first, once it is known."""
 
     records: list[tuple[int, bytes, bytes | None]] = field(default_factory=list)
+    sequence: int = 0
 
     def put(self, key: bytes, value: bytes) -> WriteBatch:
         self.records.append((PUT, bytes(key), bytes(value)))
@@ -44,10 +47,43 @@ class WriteBatch:
         size = lambda b: varint_length(len(b)) + len(b)
         return 12 + sum(1 + size(k) + (size(v) if op == PUT else 0) for op, k, v in self.records)
 
+    def encode(self) -> bytes:
+        return codec.encode_batch(self.sequence, self.records)
+
+    @classmethod
+    def decode(cls, data: bytes) -> WriteBatch:
+        sequence, records = codec.decode_batch(data)
+        return cls(records, sequence)
+
+    def iterate(self, put: Callable[[bytes, bytes], object], delete: Callable[[bytes], object]) -> None:
+        """Calls put or delete for each record, in order."""
+        for op, k, v in self.records:
+            put(k, v) if op == PUT else delete(k)
+
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, op, k, v) for i, (op, k, v) in enumerate(self.records)], BATCH_SCHEMA)
 
 
+def decoded(batches: DataFrame) -> DataFrame:
+    """(id, ordinal, op, k, v, seq) of the records of batches(id, data), data being encoded batches.  A broken batch raises."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, data in zip(part["id"], part["data"], strict=True):
+                first, records = codec.decode_batch(bytes(data))
+                rows += [(i, n, op, k, v, first + n) for n, (op, k, v) in enumerate(records)]
+            yield pd.DataFrame(rows, columns=["id", "ordinal", "op", "k", "v", "seq"])
+
+    return batches.select("id", "data").mapInPandas(run, "id long, ordinal long, op int, k binary, v binary, seq long")
+
+
+def gaps(batch: DataFrame) -> DataFrame:
+    """One row `whole`: whether the ordinals of batch(ordinal) are 0, 1, 2, ..., each once."""
+    o = F.col("ordinal")
+    return batch.agg((F.coalesce(F.min(o), F.lit(0)) == 0) & (F.coalesce(F.max(o) + 1, F.lit(0)) == F.count(F.lit(1))) & (F.countDistinct(o) == F.count(F.lit(1)))).toDF("whole")
+
+
 def numbered(batch: DataFrame, last: int) -> DataFrame:
     """batch(ordinal, op, k, v) as log rows: record i gets the sequence number last + 1 + i.  Ordinals are 0, 1, 2, ..."""
     return batch.select("k", (F.col("ordinal") + (last + 1)).alias("seq"), "op", F.when(F.col("op") == PUT, F.col("v")).alias("v"))
