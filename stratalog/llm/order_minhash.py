@@ -390,9 +390,11 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     without words all stay."""
     rows = _classes(docs, threshold).groupBy("doc_id", "t").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times"))
     stands = (F.col("least.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("least.t") == F.col("t"))
-    marked = written(rows.select(F.col("doc_id").alias("__d"), F.col("t").alias("__h"), stands.alias("__stays"), "times").where(~F.col("__stays") | (F.col("times") > 1)), "marked")
-    same = lambda r: docs["doc_id"].eqNullSafe(r["__d"]) & (F.xxhash64(docs["text"]) == r["__h"]) & docs["text"].isNotNull()
-    once = docs.join(marked, same(marked), "left_anti")
-    repeated = docs.join(often := marked.where("__stays"), same(often), "left_semi")
-    (name,) = unused(docs)
-    return once.unionByName(repeated.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)).select(docs.columns)
+    own, doc, hashed, stays = unused(docs, 4)
+    marked = rows.select(F.col("doc_id").alias(doc), F.col("t").alias(hashed), stands.alias(stays), "times")
+    marked = written(marked.where(~F.col(stays) | (F.col("times") > 1)).drop("times"), "marked")
+    texts = docs.withColumn(own, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    # What is marked grows with the corpus: a merge join at every size, which shuffles the texts once.
+    found = texts.join(marked.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left")
+    once, repeated = found.where(F.col(stays).isNull()), found.where(F.col(stays))
+    return once.unionByName(repeated.dropDuplicates([doc, hashed])).select(docs.columns)
