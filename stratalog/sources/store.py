@@ -328,29 +328,26 @@ class Store:
     def get(self, key: bytes, snapshot: int | None = None) -> bytes:
         """The value; NotFound for absent and deleted keys.
 
-        The buffer comes first, and answers alone if it knows the key: what it holds is newer than all files.  Else the
-        files whose range holds the key are read in one job.  If there are several, the first that a search level by level
-        would try is charged a seek.
+        The buffer comes first, and answers alone unless a file whose range holds the key has newer rows (only a table
+        that was written after can).  Such files are read in one job.  If there are several, the first that a search level
+        by level would try is charged a seek.
         """
         state, sk = self.state(), self.comparator.key(bytes(key))
         bound = state["last_seq"] if snapshot is None else snapshot
         known = [(seq, op, v) for k, seq, op, v in self._tail(state) if seq <= bound and self.comparator.key(k) == sk]
-        if known:
-            _, op, v = max(known, key=lambda r: r[0])
-            if op != PUT:
-                raise NotFound(key)
-            return v
-        holds = [f for f in state["files"] if f["lo"] <= sk.hex() <= f["hi"] and f["first_seq"] <= bound]
+        best = max(known, key=lambda r: r[0], default=(0, None, None))
+        holds = [f for f in state["files"] if f["lo"] <= sk.hex() <= f["hi"] and f["first_seq"] <= bound and f["last_seq"] > best[0]]
         if len(holds) > 1:
             first = min(holds, key=lambda f: (f["level"], -f["file_no"]))
             self._seeks[first["file_no"]] = self._seeks.get(first["file_no"], picking.allowed_seeks(first["size"])) - 1
-        if not holds:
+        if holds:
+            rows = self._read([f["path"] for f in holds]).where(self.comparator.column(F.col("k")) == F.lit(sk)).where((F.col("seq") <= bound) & (F.col("seq") > best[0]))
+            found = rows.orderBy(F.desc("seq")).limit(1).first()
+            if found is not None:
+                best = (found["seq"], found["op"], None if found["v"] is None else bytes(found["v"]))
+        if best[1] != PUT:
             raise NotFound(key)
-        rows = self._read([f["path"] for f in holds]).where(self.comparator.column(F.col("k")) == F.lit(sk)).where(F.col("seq") <= bound)
-        found = rows.orderBy(F.desc("seq")).limit(1).first()
-        if found is None or found["op"] != PUT:
-            raise NotFound(key)
-        return bytes(found["v"])
+        return best[2]
 
     def multi_get(self, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
         return read.multi_get(self.view(snapshot), keys)

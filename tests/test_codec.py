@@ -1,0 +1,227 @@
+"""Byte codecs against known vectors and by round trips."""
+
+import random
+import struct
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stratalog.functions import codec
+from stratalog.operators.write import WriteBatch
+
+HASHES = [
+    (b"", 0xBC9F1D34, 0xBC9F1D34),
+    (bytes([0x62]), 0xBC9F1D34, 0xEF1345C4),
+    (bytes([0xC3, 0x97]), 0xBC9F1D34, 0x5B663814),
+    (bytes([0xE2, 0x99, 0xA5]), 0xBC9F1D34, 0x323C078F),
+    (bytes([0xE1, 0x80, 0xB9, 0x32]), 0xBC9F1D34, 0xED21633A),
+    (bytes.fromhex("01c0000000000000000000000000000014000000000004000000001400000018280000000000000002" + "00" * 7), 0x12345678, 0xF333DABB),
+]
+
+
+@pytest.mark.parametrize(("data", "seed", "want"), HASHES)
+def test_hash_vectors(data, seed, want):
+    assert codec.hash32(data, seed) == want
+
+
+@given(st.integers(0, 2**64 - 1))
+def test_varint(n):
+    data = codec.varint(n)
+    assert len(data) == codec.varint_length(n)
+    assert codec.read_varint(data + b"x") == (n, len(data))
+
+
+def test_broken_varints_and_slices():
+    for data in (b"", b"\x80", b"\xff" * 11):
+        with pytest.raises(codec.Malformed):
+            codec.read_varint(data)
+    assert codec.read_slice(codec.sliced(b"abc") + b"d") == (b"abc", 4)
+    assert codec.read_slice(codec.sliced(b"")) == (b"", 1)
+    with pytest.raises(codec.Malformed):
+        codec.read_slice(b"\x05ab")
+
+
+def test_internal_and_lookup_keys():
+    assert codec.internal_key(b"test", 2, 1) == b"test" + bytes([1, 2, 0, 0, 0, 0, 0, 0])
+    assert codec.parse_internal_key(codec.internal_key(b"", 7, 0)) == (b"", 7, 0)
+    assert codec.parse_internal_key(b"short") is None
+    assert codec.parse_internal_key(b"k" + bytes([9, 0, 0, 0, 0, 0, 0, 0])) is None
+    assert codec.lookup_key(b"da", 1) == bytes([0x0A]) + b"da" + bytes([1, 1, 0, 0, 0, 0, 0, 0])
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [(b"request", b"require", b"requf"), (b"abcde", b"abcdx", b"abcdf"), (b"abcdx", b"abcde", b"abcdx"), (b"abcdex", b"abcdfg", b"abcdex"), (b"ab", b"abc", b"ab"), (b"", b"x", b"")])
+def test_separators(a, b, want):
+    assert codec.separator(a, b) == want
+
+
+def test_successors():
+    assert codec.successor(b"ace") == b"b"
+    assert codec.successor(bytes.fromhex("ff776f726c64")) == bytes.fromhex("ff78")
+    assert codec.successor(b"\xff\xff") == b"\xff\xff" and codec.successor(b"") == b""
+
+
+def test_internal_separators():
+    k, top = codec.internal_key, codec.MAX_SEQUENCE
+    foo = k(b"foo", 100, 1)
+    for other in (k(b"foo", 99, 1), k(b"foo", 101, 1), foo, k(b"foo", 100, 0), k(b"bar", 99, 1), k(b"foobar", 200, 1)):
+        assert codec.internal_separator(foo, other) == foo
+    assert codec.internal_separator(foo, k(b"hello", 200, 1)) == k(b"g", top, 1)
+    assert codec.internal_separator(k(b"foobar", 100, 1), k(b"foo", 200, 1)) == k(b"foobar", 100, 1)
+    assert codec.internal_successor(foo) == k(b"g", top, 1)
+    assert codec.internal_successor(k(b"\xff\xff", 100, 1)) == k(b"\xff\xff", 100, 1)
+
+
+@given(st.integers(0, 2**32 - 1))
+def test_masked_checksums(crc):
+    assert codec.unmask(codec.mask(crc)) == crc
+    assert codec.mask(crc) != crc and codec.mask(codec.mask(crc)) != crc
+
+
+def test_random_numbers():
+    r = codec.Lehmer(0xDEADBEEF)
+    assert r.next() == 1624403320 and r.one_in(386994929) and r.uniform(1643288588) == 1643288587
+    assert r.next() == 2111581289 and r.skewed(1993) == 17525
+    assert codec.Lehmer(0).next() == codec.Lehmer(0x7FFFFFFF).next() == 16807
+
+
+def test_footer():
+    data = codec.footer((12345, 54321), (123, 321))
+    assert len(data) == 48 and codec.read_footer(data) == ((12345, 54321), (123, 321))
+    with pytest.raises(codec.Malformed, match="Invalid magic number"):
+        codec.read_footer(data[:-1] + bytes([data[-1] ^ 1]))
+    assert codec.block_handle(300, 5) == b"\xac\x02\x05"
+
+
+# Batches
+
+
+def test_batches():
+    batch = WriteBatch(sequence=100).put(b"foo", b"bar").delete(b"box").put(b"baz", b"boo")
+    data = batch.encode()
+    assert data[:12] == struct.pack("<QI", 100, 3) and len(data) == batch.byte_size() and batch.count() == 3
+    again, seen = WriteBatch.decode(data), []
+    again.iterate(lambda k, v: seen.append(("put", k, v)), lambda k: seen.append(("delete", k)))
+    assert again == batch and seen == [("put", b"foo", b"bar"), ("delete", b"box"), ("put", b"baz", b"boo")]
+    assert WriteBatch().byte_size() == 12 and WriteBatch().put(b"", b"").encode()[12:] == b"\x01\x00\x00"
+    other = WriteBatch().put(b"x", b"")
+    assert batch.append(other).count() == 4 and batch.clear().count() == 0
+
+
+@pytest.mark.parametrize(
+    ("data", "says"),
+    [
+        (b"short", "Malformed WriteBatch"),
+        (struct.pack("<QI", 1, 1) + b"\x07", "unknown WriteBatch tag"),
+        (struct.pack("<QI", 1, 1) + b"\x01\x05ab", "Bad WriteBatch Put"),
+        (struct.pack("<QI", 1, 1) + b"\x00\x05ab", "Bad WriteBatch Delete"),
+        (struct.pack("<QI", 1, 3) + b"\x00\x01a", "WriteBatch has wrong count"),
+    ],
+)
+def test_broken_batches(data, says):
+    with pytest.raises(codec.Malformed, match=says):
+        codec.decode_batch(data)
+
+
+# Manifest edits
+
+
+def test_version_edits():
+    big = 1 << 50
+    edit = codec.VersionEdit("cmp", big + 100, big + 200, big + 1000)
+    for i in range(4):
+        edit.added.append((3, big + 300 + i, big + 400 + i, codec.internal_key(b"foo", big + 500 + i, 1), codec.internal_key(b"zoo", big + 600 + i, 0)))
+        edit.removed.append((4, big + 700 + i))
+        edit.pointers.append((i, codec.internal_key(b"x", big + 900 + i, 1)))
+    data = edit.encode()
+    assert codec.VersionEdit.decode(data) == edit and codec.VersionEdit.decode(data).encode() == data
+    assert codec.VersionEdit.decode(b"") == codec.VersionEdit()
+    for broken in (data[:-1], b"\x63", b"\x05\x09\x01a"):
+        with pytest.raises(codec.Malformed, match="Invalid version edit"):
+            codec.VersionEdit.decode(broken)
+
+
+# Logs
+
+
+def big_string(text, n):
+    return (text * (n // len(text) + 1))[:n]
+
+
+@pytest.mark.parametrize("records", [[], [b""], [b"foo", b"bar", b"", b"xxxx"], [b"small", big_string(b"medium", 50_000), big_string(b"large", 100_000)], [str(i).encode() * (i % 17) for i in range(20_000)]])
+def test_log_round_trip(records):
+    data = codec.wal_encode(records)
+    assert list(codec.wal_decode(data)) == records
+    split = len(records) // 2
+    first = codec.wal_encode(records[:split])
+    assert first + codec.wal_encode(records[split:], len(first)) == data  # a log may be gone on with
+
+
+@pytest.mark.parametrize("left", range(10))
+def test_log_trailers(left):
+    n = codec.WAL_BLOCK - 2 * codec.WAL_HEADER + (7 - left)
+    records = [b"x" * n, b"", b"bar"]
+    assert list(codec.wal_decode(codec.wal_encode(records))) == records
+
+
+def test_log_layout():
+    record = b"hello"
+    data = codec.wal_encode([record])
+    crc, n, kind = struct.unpack_from("<IHB", data)
+    assert (n, kind, data[7:]) == (5, codec.FULL, record)
+    assert codec.unmask(crc) == zlib.crc32(record, zlib.crc32(bytes([codec.FULL])))
+    kinds = [struct.unpack_from("<IHB", codec.wal_encode([b"z" * 100_000]), i * codec.WAL_BLOCK)[2] for i in range(4)]
+    assert kinds == [codec.FIRST, codec.MIDDLE, codec.MIDDLE, codec.LAST]
+
+
+def test_damaged_logs():
+    records = [b"first", b"y" * 40_000, b"last"]
+    data = bytearray(codec.wal_encode(records))
+    assert list(codec.wal_decode(bytes(data[:-2]))) == records[:2]  # cut short
+    assert list(codec.wal_decode(bytes(data[:30_000]))) == records[:1]
+    data[9] ^= 1  # the first block's rest goes with the broken record
+    assert list(codec.wal_decode(bytes(data))) == [b"last"]
+
+
+# Filters
+
+
+def test_bloom_parameters():
+    assert [codec.Bloom(n).probes for n in (0, 1, 2, 10, 44, 100)] == [1, 1, 1, 6, 30, 30]
+
+
+def test_bloom_members_and_odd_filters():
+    bloom = codec.Bloom(10)
+    data = bloom.build([b"hello", b"world"])
+    assert len(data) == 9 and data[-1] == 6
+    assert bloom.may_hold(b"hello", data) and bloom.may_hold(b"world", data)
+    assert not bloom.may_hold(b"x", data) and not bloom.may_hold(b"foo", data)
+    assert not bloom.may_hold(b"hello", bloom.build([])) and not bloom.may_hold(b"a", b"")
+    assert bloom.may_hold(b"anything", b"\0" * 8 + bytes([31]))
+
+
+def test_bloom_rates():
+    bloom, mediocre, good = codec.Bloom(10), 0, 0
+    for n in [1, 5, 10, 50, 100, 500, 1000, 5000]:
+        data = bloom.build([struct.pack("<I", i) for i in range(n)])
+        assert len(data) <= n * 10 // 8 + 40
+        assert all(bloom.may_hold(struct.pack("<I", i), data) for i in range(n))
+        rate = sum(bloom.may_hold(struct.pack("<I", i + 1_000_000_000), data) for i in range(10_000)) / 10_000
+        assert rate < 0.02
+        mediocre, good = mediocre + (rate > 0.0125), good + (rate <= 0.0125)
+    assert mediocre <= good / 5
+
+
+@settings(max_examples=50)
+@given(st.lists(st.tuples(st.integers(0, 1), st.binary(max_size=40), st.binary(max_size=300)), max_size=30), st.integers(0, 2**50))
+def test_batches_through_logs(records, seq):
+    rows = [(op, k, v if op else None) for op, k, v in records]
+    (found,) = codec.wal_decode(codec.wal_encode([codec.encode_batch(seq, rows)]))
+    assert codec.decode_batch(found) == (seq, rows)
+
+
+def test_random_records_of_random_sizes():
+    rng = random.Random(301)
+    records = [rng.randbytes(rng.randrange(1 << rng.randrange(17))) for _ in range(300)]
+    assert list(codec.wal_decode(codec.wal_encode(records))) == records
