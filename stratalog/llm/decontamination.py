@@ -33,7 +33,7 @@ from .units import UnitMemo, joined
 #: Words of a shingle, least part of an item's shingle weight that a passage shares with it, bits that fingerprints may differ in.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
 #: Bytes of items of one index; a larger benchmark is taken in several passes over the documents.
-PASS_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
+PASS_BYTES, BATCH_BYTES = 1 << 20, 1 << 20
 
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 

@@ -88,7 +88,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in by_bytes(batch, at, 4 << 20):
+            for rows in by_bytes(batch, at, 1 << 20):
                 found = [judge(t, fixed) for t in rows.column(at).to_pylist()]
                 columns = [
                     *rows.columns,

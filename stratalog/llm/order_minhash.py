@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ SHINGLE, SIMILARITY, HASHES, ORDER = 5, 0.8, 24, 3
 #: Nodes of a bucket that are all paired, nodes of a larger bucket that are compared with one of them first.
 PAIRS, FAN = 12, 32
 #: Words of a block of a larger bucket; a task joins one block with another.  Words of a text that are aligned at a time.
-BLOCK, ROWS = 1 << 20, 8192
-BATCH_BYTES = 2 << 20
+BLOCK, ROWS = 1 << 18, 8192
+BATCH_BYTES = 1 << 20
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -390,11 +390,11 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     without words all stay."""
     rows = _classes(docs, threshold).groupBy("doc_id", "t").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times"))
     stands = (F.col("least.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("least.t") == F.col("t"))
-    own, doc, hashed, stays = unused(docs, 4)
-    marked = rows.select(F.col("doc_id").alias(doc), F.col("t").alias(hashed), stands.alias(stays), "times")
-    marked = written(marked.where(~F.col(stays) | (F.col("times") > 1)).drop("times"), "marked")
-    texts = docs.withColumn(own, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    # What is marked grows with the corpus: a merge join at every size, which shuffles the texts once.
-    found = texts.join(marked.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left")
-    once, repeated = found.where(F.col(stays).isNull()), found.where(F.col(stays))
-    return once.unionByName(repeated.dropDuplicates([doc, hashed])).select(docs.columns)
+    h1, h2, m1, m2, stays, nth = unused(docs, 6)
+    both = lambda doc, t: (F.xxhash64(doc, t), F.xxhash64(t, F.lit(7), doc))
+    row, marked = both(F.col("doc_id"), F.xxhash64("text")), rows.where(~stands | (F.col("times") > 1))
+    marked = written(marked.select(*[c.alias(m) for c, m in zip(both(F.col("doc_id"), F.col("t")), (m1, m2), strict=True)], stands.alias(stays)), "marked")
+    # What is marked grows with the corpus: a merge join at every size, which shuffles the texts once; repeated rows meet in it.
+    found = docs.withColumn(h1, row[0]).withColumn(h2, row[1]).join(marked.hint("merge"), (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left")
+    found = found.withColumn(nth, F.row_number().over(Window.partitionBy(h1, h2).orderBy(h1)))
+    return found.where(F.col(stays).isNull() | (F.col(stays) & (F.col(nth) == 1))).select(docs.columns)
