@@ -91,7 +91,15 @@ def test_footer():
     assert len(data) == 48 and codec.read_footer(data) == ((12345, 54321), (123, 321))
     with pytest.raises(codec.Malformed, match="Invalid magic number"):
         codec.read_footer(data[:-1] + bytes([data[-1] ^ 1]))
-    assert codec.block_handle(300, 5) == b"\xac\x02\x05"
+    assert codec.block_handle(300, 5) == b"\xac\x02\x05" and codec.read_block_handle(b"\xac\x02\x05x") == ((300, 5), 3)
+    with pytest.raises(codec.Malformed):
+        codec.read_block_handle(b"\xac\x02")
+
+
+def test_version():
+    import stratalog
+
+    assert stratalog.__version__ in stratalog.version_info() and "Spark" in stratalog.version_info()
 
 
 # Batches
