@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .byte_bpe import ByteBPE, byte_bpe
-from .common import Memo, by_bytes, utf8
+from .common import Memo, by_bytes, resident, utf8
 
 #: Bytes under the rolling hash; one cut in so many bytes; least and most bytes of a chunk; chunks a worker remembers.
 WINDOW, MEAN_BYTES, LEAST_BYTES, MOST_BYTES, MEMO_CHUNKS = 16, 1024, 256, 8192, 8_000
@@ -151,7 +150,7 @@ def _first_parts(text: bytes, n: int) -> bytes:
     return text[:at]
 
 
-@lru_cache(2)
+@resident
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(byte_bpe(path))
 

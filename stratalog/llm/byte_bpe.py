@@ -10,10 +10,10 @@ has seen are looked up (units.py); new plain words are merged by the library's m
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import resident
 from .units import UnitMemo, joined
 
 #: Units that a worker remembers.
@@ -126,7 +126,7 @@ class ByteBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@resident
 def byte_bpe(path: str) -> ByteBPE:
     """One encoder a worker process."""
     return ByteBPE(path)

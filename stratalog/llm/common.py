@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 from itertools import count, islice
 
 import pyarrow as pa
@@ -85,6 +86,24 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
+_RESIDENT: list[tuple] = []
+
+
+def resident(make: Callable) -> Callable:
+    """make, whose last value stays in the process for further tasks.  There is one such value whichever function made it,
+    so that workers that live through several stages hold the tables of one."""
+
+    @wraps(make)
+    def get(*key):
+        if not _RESIDENT or _RESIDENT[0][:2] != (make, key):
+            _RESIDENT.clear()
+            value = make(*key)
+            _RESIDENT[:] = [(make, key, value)]
+        return _RESIDENT[0][2]
+
+    return get
+
+
 class Memo:
     """A bounded memo in two generations; the values of missing keys are made in one call.
 

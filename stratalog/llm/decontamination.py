@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_bytes
+from .common import by_bytes, resident, unused
 from .units import UnitMemo, joined
 
 #: Words of a shingle, least part of an item's shingle weight that a passage shares with it, bits that fingerprints may differ in.
@@ -321,7 +321,7 @@ class Matcher:
 _FOUND = [T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
 
 
-@lru_cache(1)
+@resident
 def _matcher(lot: tuple[tuple[object, str], ...], threshold: float, radius: int) -> Matcher:
     """Kept by each Python worker for its further tasks."""
     return Matcher(list(lot), threshold, radius)
@@ -377,19 +377,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark, whatever their doc_id; every other row stays as it is.
-    Rows are dropped where they are matched, without a shuffle; a larger benchmark filters by one lot after the other."""
-    at = docs.columns.index("text")
 
-    def without(lot: tuple[tuple[object, str], ...]):
+    If the benchmark is one lot, rows are dropped where they are matched, without a shuffle.  Else each lot makes a pass
+    over docs, and the rows that any of them matched, known by 128 bits of their doc_id and text, go in one join.
+    """
+    every = list(lots(benchmark, PASS_BYTES))
+    if not every:
+        return docs
+    h1, h2, m1, m2 = unused(docs, 4)
+    keyed = docs.withColumn(h1, F.xxhash64("doc_id", F.xxhash64("text"))).withColumn(h2, F.xxhash64(F.xxhash64("text"), F.lit(7), "doc_id"))
+
+    def hits(lot: tuple[tuple[object, str], ...], at: int, drop: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(lot, threshold, radius)
             for batch in batches:
                 for part in by_bytes(batch, at, BATCH_BYTES):
-                    hit = {d for d, *_ in matcher.search(part.column(at).to_pylist())}
-                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_())) if hit else part
+                    found = {d for d, *_ in matcher.search(part.column(at).to_pylist())}
+                    if drop:
+                        yield part.filter(pa.array([i not in found for i in range(part.num_rows)], pa.bool_())) if found else part
+                    elif found:
+                        yield pa.RecordBatch.from_arrays([c.take(pa.array(sorted(found))) for c in part.columns[:2]], names=[m1, m2])
 
         return run
 
-    for lot in lots(benchmark, PASS_BYTES):
-        docs = docs.mapInArrow(without(lot), docs.schema)
-    return docs
+    if len(every) == 1:
+        return docs.mapInArrow(hits(every[0], docs.columns.index("text"), True), docs.schema)
+    found = reduce(DataFrame.unionByName, [keyed.select(h1, h2, "text").mapInArrow(hits(lot, 2, False), f"`{m1}` long, `{m2}` long") for lot in every]).distinct()
+    return keyed.join(found, (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left_anti").select(docs.columns)

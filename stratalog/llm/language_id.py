@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes
+from .common import by_bytes, resident
 
 #: The sample that is learned from: of each language at most SAMPLE_TEXTS different labelled texts, each whole, in the order
 #: of their hashes, until they hold DICT_CHARS characters.  The driver holds, for each language, fewer characters than
@@ -54,7 +53,7 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {k: b" ".join(v) for k, v in found.items()}
 
 
-@lru_cache(2)
+@resident
 def _compressors(model: tuple[tuple[str, bytes], ...]) -> dict[str, zstandard.ZstdCompressor]:
     out = {}
     for lang, content in model:

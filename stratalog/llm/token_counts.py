@@ -9,7 +9,6 @@ Equal parts of a worker are encoded once, in a memo of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, utf8
+from .common import by_bytes, resident, utf8
 from .units import UnitMemo, joined
 
 #: Bytes of text that are encoded at a time, and parts that a worker remembers.
 BATCH_BYTES, MEMO_PARTS = 4 << 20, 1_000_000
 
 
-@lru_cache(4)
+@resident
 def part_lengths(model: str) -> UnitMemo:
     """Memo from a part to its number of tokens.  An empty part stands for a lone space: one token."""
     import sentencepiece
