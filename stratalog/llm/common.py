@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -86,6 +88,16 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system, as far as the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 _RESIDENT: list[tuple] = []
 
 
@@ -97,6 +109,7 @@ def resident(make: Callable) -> Callable:
     def get(*key):
         if not _RESIDENT or _RESIDENT[0][:2] != (make, key):
             _RESIDENT.clear()
+            give_back()
             value = make(*key)
             _RESIDENT[:] = [(make, key, value)]
         return _RESIDENT[0][2]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, discard, kept, salted, scratch, unused, utf8, written
+from .common import by_bytes, discard, give_back, kept, salted, scratch, unused, utf8, written
 from .components import components
 from .units import UnitMemo, joined
 
@@ -276,6 +276,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 kept = pa.array(which)
                 columns = [rows.column(0).take(kept), rows.column(2).take(kept), keys, pa.array(n[which], pa.int32()), lists, pa.array([short[a:z].tobytes() for a, z in ends], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[c for c, _ in _FOUND]])
+        del hashes
+        give_back()
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(*f) for f in _FOUND]])
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).where(F.col("text").isNotNull()).mapInArrow(run, schema)
