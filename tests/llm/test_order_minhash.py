@@ -177,3 +177,25 @@ def test_intermediate_tables_are_deleted(spark):
     before = set(os.listdir(root))
     _classes(spark, hot_family(40))
     assert [n.split("-")[0] for n in set(os.listdir(root)) - before] == ["classes"]
+
+
+def test_a_crowded_bucket_is_a_tree_of_few_neighbours(spark):
+    """No node of a bucket of thousands meets more than a few others, and all hang together."""
+    n = 5000
+    nodes = spark.createDataFrame([(i, 100, [7, 1000 + i]) for i in range(n)], "node long, n int, sketch array<long>")
+    pairs, many = om.candidates(nodes)
+    rows = [(r["a"], r["b"]) for r in pairs.collect()]
+    degree, root = defaultdict(int), list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        degree[a] += 1
+        degree[b] += 1
+        root[find(a)] = find(b)
+    assert max(degree.values()) <= 4 * om.FAN and len({find(i) for i in range(n)}) == 1
+    assert many.count() == n
