@@ -96,7 +96,8 @@ def internal_order(log: DataFrame) -> DataFrame:
 
 
 def listing(log: DataFrame) -> DataFrame:
-    """(k, entries): the versions of each key, newest first, as `[ v2, DEL, v1 ]`."""
+    """(k, entries): the versions of each key, newest first, as `[ v2, DEL, v1 ]`.  A key's text is one value, so this is
+    for looking at keys whose versions fit one; `versions` has them as rows."""
     entry = F.when(F.col("op") == DELETE, "DEL").otherwise(F.col("v").cast("string"))
     rows = log.groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("s"), entry.alias("e")))).alias("es"))
     return rows.select("k", F.concat(F.lit("[ "), F.array_join("es.e", ", "), F.lit(" ]")).alias("entries"))

@@ -30,6 +30,8 @@ LOG_SCHEMA = "k binary, seq long, op int, v binary"
 _FILES = "level int, file_no long, path string, size long, n long, lo binary, hi binary, first_seq long, last_seq long"
 #: Commits after which the whole state is written once; times that a commit is tried while other writers are first.
 CHECKPOINT, TRIES = 20, 50
+#: Deeper files up to which a compaction compares tombstones with each one's range.
+RANGES = 32
 
 
 class StoreError(Exception):
@@ -441,7 +443,8 @@ class Store:
             return more
         read_bytes = picking.total(inputs + below)
         rest = [f for f in state["files"] if (f["level"], f["file_no"]) not in taken]
-        deeper = [(bytes.fromhex(f["lo"]), bytes.fromhex(f["hi"])) for f in rest if f["level"] > level + 1]
+        first, last = picking.span(inputs, below)
+        deeper = [(bytes.fromhex(f["lo"]), bytes.fromhex(f["hi"])) for f in rest if f["level"] > level + 1 and f["lo"] <= last and f["hi"] >= first]
         numbers = {f["file_no"] for f in inputs + below}
         kept = self._retained(self.log(lambda f: f["file_no"] in numbers, state, tail=False), self.oldest_bound(), deeper)
         made = self._add_files(kept, max(1, -(-read_bytes // self.file_bytes)), picking.output_bounds(grandparents, self.file_bytes))
@@ -456,12 +459,19 @@ class Store:
         return more
 
     def _retained(self, rows: DataFrame, bound: int, deeper: list[tuple[bytes, bytes]]) -> DataFrame:
+        """The rows that readers at bound and later can still see; a tombstone stays where a deeper range spans its key.  A
+        few ranges are a filter, more of them an interval join with the tombstones' keys."""
         after = rows.where(F.col("seq") > bound)
         last = self._newest(rows, bound)
-        key, spanned = self.comparator.column(F.col("k")), F.lit(False)
-        for a, z in deeper:
-            spanned |= key.between(F.lit(a), F.lit(z))
-        return after.unionByName(last.where((F.col("op") == PUT) | spanned).select(*after.columns))
+        values, dead = last.where(F.col("op") == PUT), last.where(F.col("op") != PUT)
+        if len(deeper) <= RANGES:
+            key = self.comparator.column(F.col("k"))
+            dead = dead.where(reduce(lambda c, r: c | key.between(F.lit(r[0]), F.lit(r[1])), deeper, F.lit(False)))
+        else:
+            table = self.spark.createDataFrame(deeper, "lo binary, hi binary")
+            keyed = self._sorted(dead.select(*after.columns)).withColumn("to", F.col("sk"))
+            dead = files.interval_join(keyed, table, "sk", "to", "lo", "hi").select(*after.columns).distinct()
+        return after.unionByName(values.select(*after.columns)).unionByName(dead.select(*after.columns))
 
     def compact_range(self, lo: bytes | None = None, hi: bytes | None = None) -> None:
         """Flushes, then compacts the range level by level down to the deepest that holds any of it."""

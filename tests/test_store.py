@@ -185,7 +185,9 @@ def test_deletion_markers_over_a_value(db):
     assert db.versions(b"foo") == "[ v2 ]"
 
 
-def test_deletion_markers_alone(db):
+@pytest.mark.parametrize("ranges", [st.RANGES, 0])
+def test_deletion_markers_alone(db, monkeypatch, ranges):
+    monkeypatch.setattr(st, "RANGES", ranges)
     put(db, foo="v1")
     db.flush()
     put(db, a="begin", z="end")
