@@ -16,6 +16,8 @@ L0_FILES, L1_BYTES = 4, 10 << 20
 LEVELS = 7
 #: Bytes that a seek costs as much as, and the fewest seeks that a file is allowed before it asks for a compaction.
 SEEK_BYTES, LEAST_SEEKS = 16 << 10, 100
+#: Files of a level that one key of the join of overlapping files holds.
+BLOCK = 128
 
 
 def _spread(rows: DataFrame, lo: str, hi: str, cuts: list, name: str) -> DataFrame:
@@ -37,10 +39,33 @@ def prefixed(files: DataFrame, prefix: str) -> DataFrame:
     return files.select(*[F.col(c).alias(f"{prefix}_{c}") for c in files.columns])
 
 
+def _ends(files: DataFrame) -> DataFrame:
+    """files with a row for either end: `__key`, and `__side`, 0 of lo and 2 of hi.  An interval whose end is before its
+    beginning has none."""
+    end = lambda c, side: F.struct(F.col(c).alias("__key"), F.lit(side).alias("__side"))
+    return files.where(F.col("lo") <= F.col("hi")).select("*", F.inline(F.array(end("lo", 0), end("hi", 2))))
+
+
 def overlaps(files: DataFrame) -> DataFrame:
-    """Pairs a_file_no < b_file_no of files of one level that overlap."""
-    also = (F.col("a_level") == F.col("b_level")) & (F.col("a_file_no") < F.col("b_file_no"))
-    return interval_join(prefixed(files, "a"), prefixed(files, "b"), "a_lo", "a_hi", "b_lo", "b_hi", also)
+    """Pairs a_file_no < b_file_no of files of one level that overlap.
+
+    Files are numbered by (lo, file_no) in their level.  Those that a file meets from there on are the next ones, up to the
+    last that begins at or before its end, so each pair is found once, from the earlier of the two.  A file goes to the
+    blocks of BLOCK numbers that this range touches, whatever the keys: the work grows with the pairs, not with the files'
+    lengths, and many files that share keys still make many blocks.
+    """
+    rows = order.celled(_ends(files).withColumn("grp", F.col("level")), "__key").withColumn("__begins", F.when(F.col("__side") == 0, 1).otherwise(0))
+    rows = order.running_sum(rows, ["__key", "__side", "file_no"], "__begins", "__upto")
+    own = ["level", "file_no", "lo", "hi"]
+    rows = rows.groupBy(*own).agg(F.min("__upto").alias("__at"), F.max("__upto").alias("__last"), *[F.first(c).alias(c) for c in files.columns if c not in own])
+    block = lambda c: F.floor(c / BLOCK)
+    x = rows.where(F.col("__last") > F.col("__at")).withColumn("__block", F.explode(F.sequence(block(F.col("__at") + 1), block(F.col("__last")))))
+    x = prefixed(x, "x").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x_level", "x___block")  # few bytes make many pairs
+    y = prefixed(rows.withColumn("__block", block(F.col("__at"))), "y")
+    on = (F.col("x_level") == F.col("y_level")) & (F.col("x___block") == F.col("y___block")) & (F.col("y___at") > F.col("x___at")) & (F.col("y___at") <= F.col("x___last"))
+    older = F.col("x_file_no") < F.col("y_file_no")
+    sides = [F.when(older, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{name}_{c}") for name, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in files.columns]
+    return x.join(y, on & (F.col("x_file_no") != F.col("y_file_no"))).select(*sides)
 
 
 def has_overlap(files: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -150,6 +150,52 @@ def test_intervals(spark, as_bytes):
             assert marked[f[1]][2] == number
 
 
+def rows_of(df, name):
+    """The most rows that a node of this name gave, after a run of df."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        metric = node.metrics().get("numOutputRows")
+        if name in kind and metric.isDefined():
+            found.append(metric.get().value())
+    return max(found)
+
+
+@pytest.mark.parametrize("same_lo", [False, True])
+def test_many_long_files(spark, same_lo):
+    """Level 0 files that all overlap: far fewer rows than pairs go into the join, and no task has most of the pairs."""
+    n = 600
+    rows = [(0, i, 1, 0 if same_lo else i * 7 % n, 5000 + i % 50) for i in range(n)] + [(1, n + i, 1, 10 * i, 10 * i + 9) for i in range(n)]
+    table = spark.createDataFrame(rows, "level int, file_no long, size long, lo long, hi long")
+    cells = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = files.overlaps(table).select("a_level", "a_file_no", "b_file_no")
+        assert sorted(plain(pairs)) == [(0, a, b) for a in range(n) for b in range(a + 1, n)]
+        assert rows_of(pairs, "Generate") < n * (n - 1) // 2 // 10
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert max(tasks) < sum(tasks) // 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", cells)
+
+
+def test_overlapping_pairs_keep_both_sides(spark):
+    """Either side of a pair has its own columns, in the order of the files' numbers."""
+    rows = [(0, 9, 90, 1, 5), (0, 4, 40, 5, 8), (0, 5, 50, 9, 3), (0, 6, 60, 8, 8), (1, 7, 70, 5, 5)]
+    table = spark.createDataFrame(rows, "level int, file_no long, size long, lo long, hi long")
+    found = files.overlaps(table)
+    assert found.columns == [f"{p}_{c}" for p in "ab" for c in table.columns]
+    assert sorted(plain(found)) == [(*rows[1], *rows[3]), (*rows[1], *rows[0])]
+
+
 def test_open_ended_overlaps(spark):
     held = spark.createDataFrame([(1, 1, 1, "p", "q"), (2, 2, 1, "150", "200"), (2, 3, 1, "200", "250"), (2, 4, 1, "300", "350"), (2, 5, 1, "400", "450")], "level int, file_no long, size long, lo string, hi string")
     cases = [
