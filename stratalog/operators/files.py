@@ -79,7 +79,7 @@ def has_overlap(files: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def files_for_keys(files: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
     """keys(key) with the files that may hold each, and `probe`, the order in which a lookup tries them: level 0 from the
-    newest file on, then the one file of each deeper level.  most: probes at most, for a charge of seeks 2."""
+    newest file on, then the one file of each deeper level.  most: probes at most."""
     asked = keys.select(F.col("key"), F.col("key").alias("__k"))
     rows = interval_join(asked, files, "key", "__k", "lo", "hi").drop("__k")
     probe = Window.partitionBy("key").orderBy("level", F.desc("file_no"))
@@ -87,13 +87,39 @@ def files_for_keys(files: DataFrame, keys: DataFrame, most: int | None = None) -
     return rows if most is None else rows.where(F.col("probe") <= most)
 
 
+def _tried(files: DataFrame, asked: DataFrame, nodes: Column) -> DataFrame:
+    """asked, all columns being keys, with `__n`, how many files(level, file_no, __node) are at one of its nodes, and `__first`,
+    the first of them that a lookup tries."""
+    first = F.struct("level", (-F.col("file_no")).alias("__late"))
+    held = files.groupBy("__node").agg(F.count(F.lit(1)).alias("__n"), F.min(first).alias("__first"))
+    return asked.withColumn("__node", F.explode(nodes)).join(held, "__node").groupBy(*asked.columns).agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first"))
+
+
 def charged(files: DataFrame, lookups: DataFrame) -> DataFrame:
     """files with `allowed_seeks` and `charges`: a lookup(key) that has to try two files charges the first of them.  A file
-    whose charges reach its allowance asks for a compaction."""
-    tried = files_for_keys(files, lookups.select("key").distinct(), 2)
-    two = tried.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("file_no", "probe").alias("file_no"), F.min_by("level", "probe").alias("level")).where(F.col("n") == 2)
-    times = lookups.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    charges = two.join(times, "key").groupBy("level", "file_no").agg(F.sum("times").alias("charges"))
+    whose charges reach its allowance asks for a compaction.
+
+    Keys between two neighbouring ends of files are in the same files: the ends cut the keys into numbered stretches, and a
+    file is a range of them.  Each range is the union of a few nodes, a node (height, n) being the 2^height stretches from
+    n * 2^height on, and a stretch is below one node of each height: so files and keys meet in the nodes, a number of
+    times that grows with the logarithm of the number of files, however many files hold a key.
+    """
+    times = lookups.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("__times"))
+    none = lambda c: F.lit(None).cast(files.schema[c].dataType).alias(c)
+    ends = _ends(files).select("level", "file_no", "__key", "__side", F.lit(0).cast("long").alias("__times"), F.lit(1).alias("__end"))
+    rows = ends.unionByName(times.select(none("level"), none("file_no"), F.col("key").alias("__key"), F.lit(1).alias("__side"), "__times", F.lit(0).alias("__end")))
+    rows = order.running_sum(order.celled(rows.withColumn("grp", F.lit(1)), "__key"), ["__key", "__side"], "__end", "__upto")
+    spans = rows.where(F.col("__end") == 1).groupBy("level", "file_no").agg(F.min("__upto").alias("__from"), F.max("__upto").alias("__to"))  # stretches from __from on, before __to
+    heights = lambda c: F.sequence(F.lit(0), F.length(F.bin(c)) - 1)
+    spans = spans.withColumn("__height", F.explode(heights("__to")))
+    spans = spans.withColumn("__l", F.expr("shiftright(__from + shiftleft(1L, __height) - 1, __height)")).withColumn("__r", F.expr("shiftright(__to, __height)")).where(F.col("__l") < F.col("__r"))
+    left, right = F.when(F.col("__l") % 2 == 1, F.col("__l")), F.when(F.col("__r") % 2 == 1, F.col("__r") - 1)
+    node = lambda n: F.struct(F.col("__height").alias("height"), n.alias("n"))
+    spans = spans.select("level", "file_no", F.explode(F.array_compact(F.array(F.when(left.isNotNull(), node(left)), F.when(right.isNotNull(), node(right))))).alias("__node"))
+    asked = rows.where((F.col("__end") == 0) & (F.col("__upto") > 0)).groupBy(F.col("__upto").alias("__stretch")).agg(F.sum("__times").alias("__times"))
+    above = F.transform(heights("__stretch"), lambda h: F.struct(h.alias("height"), F.call_function("shiftright", F.col("__stretch"), h).alias("n")))
+    two = _tried(spans, asked, above).where(F.col("__n") > 1)
+    charges = two.groupBy(F.col("__first.level").alias("level"), (-F.col("__first.__late")).alias("file_no")).agg(F.sum("__times").alias("charges"))
     allowed = F.greatest(F.floor(F.col("size") / SEEK_BYTES), F.lit(LEAST_SEEKS))
     return files.join(charges, ["level", "file_no"], "left").withColumn("charges", F.coalesce("charges", F.lit(0))).withColumn("allowed_seeks", allowed)
 

@@ -196,6 +196,40 @@ def test_overlapping_pairs_keep_both_sides(spark):
     assert sorted(plain(found)) == [(*rows[1], *rows[3]), (*rows[1], *rows[0])]
 
 
+def charges_of(rows, asked):
+    """The charges by plain Python: every file tried with every key."""
+    charges = defaultdict(int)
+    for k in asked:
+        held = sorted((f for f in rows if k is not None and f[3] <= k <= f[4]), key=lambda f: (f[0], -f[1]))
+        if len(held) > 1:
+            charges[held[0][1]] += 1
+    return charges
+
+
+@pytest.mark.parametrize("as_bytes", [False, True])
+def test_charges(spark, as_bytes):
+    """Keys in gaps, at both ends of files, in one file, in many, null; files of one key; ranges with their ends swapped."""
+    rng, key, kind = random.Random(8), (lambda x: b"%06d" % x) if as_bytes else (lambda x: x), "binary" if as_bytes else "long"
+    rows = random_files(as_bytes, 40, 5) + [(0, 900, 1, key(8000), key(8000)), (0, 901, 1 << 30, key(8000), key(8000)), (3, 902, 1, key(8100), key(8050)), (2, 903, 1, key(9000), key(9001))]
+    asked = [rng.choice((key(rng.randrange(9100)), *rng.choice(rows)[3:])) for _ in range(900)] + [key(8000)] * 5 + [key(8070), key(9000), None]
+    table = spark.createDataFrame(rows, f"level int, file_no long, size long, lo {kind}, hi {kind}")
+    got = {r["file_no"]: (r["charges"], r["allowed_seeks"]) for r in files.charged(table, spark.createDataFrame([(k,) for k in asked], f"key {kind}")).collect()}
+    want = charges_of(rows, asked)
+    assert got == {f[1]: (want[f[1]], max(f[2] // 16384, 100)) for f in rows} and want[901] >= 5
+    assert {r["charges"] for r in files.charged(table, spark.createDataFrame([], f"key {kind}")).collect()} == {0}
+
+
+def test_charges_of_many_long_files(spark):
+    """Keys that each are in all files: the work grows with files and keys, not with the pairs of them."""
+    n = 300
+    rows = [(0, i, 1, i, 9000 - i) for i in range(n)]
+    asked = [1000 + 7 * i for i in range(n)] + [i for i in range(0, n, 9)]
+    df = files.charged(spark.createDataFrame(rows, "level int, file_no long, size long, lo long, hi long"), spark.createDataFrame([(k,) for k in asked], "key long"))
+    want = charges_of(rows, asked)
+    assert {r["file_no"]: r["charges"] for r in df.collect()} == {i: want[i] for i in range(n)}
+    assert rows_of(df, "") < n * n // 5
+
+
 def test_open_ended_overlaps(spark):
     held = spark.createDataFrame([(1, 1, 1, "p", "q"), (2, 2, 1, "150", "200"), (2, 3, 1, "200", "250"), (2, 4, 1, "300", "350"), (2, 5, 1, "400", "450")], "level int, file_no long, size long, lo string, hi string")
     cases = [
